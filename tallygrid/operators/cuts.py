@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.polygon import bounding_box, has_area, inside_polygon
-from tallygrid.functions.readings import as_double, is_valid
+from tallygrid.functions.readings import as_double, valid
 from tallygrid.specs import SENTINEL, Cut, require_columns, unique_cuts
 
 
@@ -51,8 +51,8 @@ def apply_cuts(
     for cut in usable:
         box, inside = _box(df, cut), _inside(df, cut)
         if drop_sentinel:
-            both = is_valid(df, cut.x_column, SENTINEL) & is_valid(df, cut.y_column, SENTINEL)
-            inside = both & inside
+            for column in (cut.x_column, cut.y_column):
+                inside = F.expr(valid(df, column, SENTINEL)) & inside
         boxes.append(box)
         insides.append(inside)
     # The boxes alone are plain comparisons, which the Parquet reader can use to skip

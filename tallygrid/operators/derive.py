@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.functions.readings import as_double, selected
+from tallygrid.functions.readings import as_double, number, selected
 from tallygrid.specs import SENTINEL, Selection, require_columns
 
 
@@ -14,9 +14,8 @@ def mean_of_two(df: DataFrame, right: str, left: str, alias: str, true_mean: boo
 
     It is not the arithmetic mean; ``true_mean`` gives ``(right + left) / 2``.
     """
-    r, el = as_double(df, right), as_double(df, left)
-    value = (r + el) / F.lit(2.0) if true_mean else r + el / F.lit(2.0)
-    return value.alias(alias)
+    r, el = number(df, right), number(df, left)
+    return F.expr(f"({r} + {el}) / 2D" if true_mean else f"{r} + {el} / 2D").alias(alias)
 
 
 def difference(df: DataFrame, minuend: str, subtrahend: str, alias: str | None = None) -> Column:
@@ -24,7 +23,7 @@ def difference(df: DataFrame, minuend: str, subtrahend: str, alias: str | None =
 
     Two missing readings subtract to 0.0, which is an ordinary value.
     """
-    value = as_double(df, minuend) - as_double(df, subtrahend)
+    value = F.expr(f"{number(df, minuend)} - {number(df, subtrahend)}")
     return value.alias(alias or f"{minuend}_{subtrahend}")
 
 

@@ -11,11 +11,11 @@ import functools
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.binning import bin_index, in_range
-from tallygrid.functions.readings import as_double, is_valid, selected
+from tallygrid.functions.readings import number, selected, valid
 from tallygrid.operators.derive import keep
 from tallygrid.specs import (
     SENTINEL,
@@ -32,10 +32,10 @@ ALL_ROWS: Mapping[str, Selection] = {"all": Selection()}
 
 COUNT_COLUMNS = ("hist", "x_bin", "y_bin", "count")
 
-# Entries that share one pass over the events. Beyond about ten, the generated method
-# passes 8,000 bytes and the JVM stops compiling it to machine code; below, the table
-# is read more often than needed. See README, "Filling many histograms".
-ENTRIES_PER_PASS = 8
+# Entries that share one pass over the events. Each adds some 280 bytes to the generated
+# method of its pass, and the JVM never compiles methods above 8,000 bytes to machine
+# code; fewer entries per pass would only read the table more often.
+ENTRIES_PER_PASS = 20
 
 _KEY_BITS = 63
 
@@ -49,8 +49,9 @@ def hist1d(
     """Count table of one 1D histogram. There is no sentinel filter, only the range."""
     require_columns(df.columns, [spec.x.column])
     rows = keep(df, bases[spec.base], sentinel)
-    value = as_double(rows, spec.x.column)
-    bins = rows.where(in_range(value, spec.x)).select(bin_index(value, spec.x).alias("x_bin"))
+    value = number(rows, spec.x.column)
+    counted_rows = rows.where(in_range(value, spec.x))
+    bins = counted_rows.selectExpr(f"{bin_index(value, spec.x)} AS x_bin")
     counted = bins.where(F.col("x_bin") < F.lit(spec.x.bins)).groupBy("x_bin").count()
     return counted.select(
         F.lit(spec.name).alias("hist"), "x_bin", F.lit(None).cast("bigint").alias("y_bin"), "count"
@@ -67,11 +68,11 @@ def hist2d(
     require_columns(df.columns, [spec.x.column, spec.y.column])
     rows = keep(df, bases[spec.base], SENTINEL if sentinel is None else sentinel)
     if sentinel is not None:
-        rows = rows.where(is_valid(rows, spec.x.column, sentinel))
-        rows = rows.where(is_valid(rows, spec.y.column, sentinel))
-    x, y = as_double(rows, spec.x.column), as_double(rows, spec.y.column)
-    bins = rows.where(in_range(x, spec.x) & in_range(y, spec.y)).select(
-        bin_index(x, spec.x).alias("x_bin"), bin_index(y, spec.y).alias("y_bin")
+        rows = rows.where(valid(rows, spec.x.column, sentinel))
+        rows = rows.where(valid(rows, spec.y.column, sentinel))
+    x, y = number(rows, spec.x.column), number(rows, spec.y.column)
+    bins = rows.where(f"{in_range(x, spec.x)} AND {in_range(y, spec.y)}").selectExpr(
+        f"{bin_index(x, spec.x)} AS x_bin", f"{bin_index(y, spec.y)} AS y_bin"
     )
     counted = bins.groupBy("x_bin", "y_bin").count()
     return counted.select(F.lit(spec.name).alias("hist"), "x_bin", "y_bin", "count")
@@ -85,14 +86,15 @@ def fill_catalogue(
     on_missing: str = "raise",
     entries_per_pass: int = ENTRIES_PER_PASS,
 ) -> DataFrame:
-    """Count table of a whole catalogue: a few passes, one shuffle, one action.
-
-    Entries are taken in groups that share columns. A pass computes each distinct
-    bin number of its group once per row, turns every entry into one 64-bit key
-    (entry, x bin, y bin) and counts keys. Counting starts in the map tasks, so what
-    is shuffled is at most one row per task and non-empty bin, however many events
-    fall into the bin. Entries whose columns are absent fail the call, or, with
-    ``on_missing="skip"``, stay empty.
+    """Count table of a whole catalogue in a few passes and one action.
+
+    Entries are taken in groups that share columns. A pass computes each distinct bin
+    number of its group once per row, turns every entry into one 64-bit key (entry,
+    x bin, y bin) and counts keys. Counting starts in the map tasks, within the same
+    generated code as the scan, so what is shuffled is at most one row per task and
+    non-empty bin, however many events fall into the bin. Passes have no key in common,
+    so their counts need no further merging. Entries whose columns are absent fail the
+    call, or, with ``on_missing="skip"``, stay empty.
     """
     entries = unique_specs(specs)
     if on_missing not in ("raise", "skip"):
@@ -110,14 +112,14 @@ def fill_catalogue(
         return df.sparkSession.createDataFrame([], empty)
 
     layout = _KeyLayout.of(present)
-    ids = {spec.name: number for number, spec in enumerate(present)}
+    ids = {spec.name: position for position, spec in enumerate(present)}
     ordered = sorted(present, key=lambda s: (s.x.column, s.base, s.axes[-1].column))
     passes = [
         _keys(df, ordered[i : i + entries_per_pass], ids, layout, bases, sentinel)
         for i in range(0, len(ordered), entries_per_pass)
     ]
-    keys = functools.reduce(DataFrame.unionAll, passes)
-    return layout.decode(keys.groupBy(*layout.columns).count(), present)
+    counted = [keys.groupBy(*layout.columns).count() for keys in passes]
+    return layout.decode(functools.reduce(DataFrame.unionAll, counted), present)
 
 
 def _columns_of(spec: HistSpec, bases: Mapping[str, Selection]) -> list[str]:
@@ -134,62 +136,35 @@ def _keys(
 ) -> DataFrame:
     """One row per event and entry of the group that counts the event."""
     axes: dict[Axis, str] = {}
-    for spec in group:
-        for axis in spec.axes:
-            axes.setdefault(axis, f"axis_{len(axes)}")
     tests: dict[str, str] = {}
-    for spec in group:
-        if bases[spec.base].columns:
-            tests.setdefault(spec.base, f"base_{len(tests)}")
-
     marker = SENTINEL if sentinel is None else sentinel
-    per_row = df.select(
-        *[_bin_or_null(df, axis).alias(name) for axis, name in axes.items()],
-        *[selected(df, bases[base], marker).alias(name) for base, name in tests.items()],
-        *_sentinel_tests(df, group, sentinel),
-    )
     keys = []
     for spec in group:
-        x = F.col(axes[spec.x])
-        conditions = [F.col(tests[spec.base])] if spec.base in tests else []
+        bins = [axes.setdefault(axis, f"axis_{len(axes)}") for axis in spec.axes]
+        conditions = []
+        base = selected(df, bases[spec.base], marker)
+        if base is not None:
+            conditions.append(tests.setdefault(base, f"test_{len(tests)}"))
         if isinstance(spec, Hist1D):
-            conditions.append(x < F.lit(spec.x.bins))
-            key = layout.encode(ids[spec.name], x, None)
+            conditions.append(f"{bins[0]} < {spec.x.bins}")
         else:
-            conditions += [F.col(_test_name(a)) for a in spec.axes if _may_hold(a, sentinel)]
-            key = layout.encode(ids[spec.name], x, F.col(axes[spec.y]))
-        if conditions:
-            key = F.when(functools.reduce(Column.__and__, conditions), key)
-        keys.append(key)
-    exploded = per_row.select(F.explode(F.array(*keys)).alias("key"))
-    return layout.rows(exploded)
-
-
-def _bin_or_null(df: DataFrame, axis: Axis) -> Column:
-    value = as_double(df, axis.column)
-    return F.when(in_range(value, axis), bin_index(value, axis))
-
-
-def _may_hold(axis: Axis, sentinel: float | None) -> bool:
-    """Whether the range itself does not already keep the sentinel out."""
-    return sentinel is not None and axis.lo <= sentinel < axis.hi
-
-
-def _test_name(axis: Axis) -> str:
-    return f"reading of {axis.column}"
+            # where the range itself keeps the sentinel out, there is nothing to test
+            for axis in spec.axes:
+                if sentinel is not None and axis.lo <= sentinel < axis.hi:
+                    reading = valid(df, axis.column, sentinel)
+                    conditions.append(tests.setdefault(reading, f"test_{len(tests)}"))
+        key = layout.encode(ids[spec.name], *bins)
+        keys.append(f"if({' AND '.join(conditions)}, {key}, NULL)" if conditions else key)
+    per_row = df.selectExpr(
+        *[f"{_bin_or_null(df, axis)} AS {name}" for axis, name in axes.items()],
+        *[f"{test} AS {name}" for test, name in tests.items()],
+    )
+    return layout.rows(per_row.selectExpr(f"explode(array({', '.join(keys)})) AS key"))
 
 
-def _sentinel_tests(
-    df: DataFrame, group: Sequence[HistSpec], sentinel: float | None
-) -> list[Column]:
-    wanted = {
-        axis.column: axis
-        for spec in group
-        if isinstance(spec, Hist2D)
-        for axis in spec.axes
-        if _may_hold(axis, sentinel)
-    }
-    return [is_valid(df, a.column, sentinel).alias(_test_name(a)) for a in wanted.values()]
+def _bin_or_null(df: DataFrame, axis: Axis) -> str:
+    value = number(df, axis.column)
+    return f"if({in_range(value, axis)}, {bin_index(value, axis)}, NULL)"
 
 
 @dataclass(frozen=True)
@@ -212,17 +187,14 @@ class _KeyLayout:
     def columns(self) -> tuple[str, ...]:
         return ("key",) if self.packed else ("entry", "x_bin", "y_bin")
 
-    def encode(self, entry: int, x: Column, y: Column | None) -> Column:
+    def encode(self, entry: int, x: str, y: str | None = None) -> str:
         """Key of one entry; NULL when a bin is NULL. Bit operations, so no overflow tests."""
         if not self.packed:
-            low = F.lit(0).cast("bigint") if y is None else y
-            struct = F.struct(F.lit(entry).alias("entry"), x.alias("x_bin"), low.alias("y_bin"))
-            known = x.isNotNull() if y is None else x.isNotNull() & y.isNotNull()
-            return F.when(known, struct)
-        key = F.shiftleft(x, self.y_bits) if self.y_bits else x
-        if entry:
-            key = key.bitwiseOR(F.lit(entry << (self.x_bits + self.y_bits)).cast("bigint"))
-        return key if y is None else key.bitwiseOR(y)
+            struct = f"struct({entry} AS entry, {x} AS x_bin, {y or '0L'} AS y_bin)"
+            known = f"{x} IS NOT NULL" + (f" AND {y} IS NOT NULL" if y else "")
+            return f"if({known}, {struct}, NULL)"
+        key = f"shiftleft({x}, {self.y_bits}) | {entry << (self.x_bits + self.y_bits)}L"
+        return f"({key} | {y})" if y else f"({key})"
 
     def rows(self, exploded: DataFrame) -> DataFrame:
         kept = exploded.where(F.col("key").isNotNull())
@@ -232,9 +204,9 @@ class _KeyLayout:
         if self.packed:
             key = F.col("key")
             entry = F.shiftright(key, self.x_bits + self.y_bits).cast("int")
-            x_bin = F.shiftright(key, self.y_bits) if self.y_bits else key
-            x_bin = x_bin.bitwiseAND(F.lit((1 << self.x_bits) - 1).cast("bigint"))
-            y_bin = key.bitwiseAND(F.lit((1 << self.y_bits) - 1).cast("bigint"))
+            x_mask, y_mask = (F.lit((1 << b) - 1).cast("bigint") for b in (self.x_bits, self.y_bits))
+            x_bin = F.shiftright(key, self.y_bits).bitwiseAND(x_mask)
+            y_bin = key.bitwiseAND(y_mask)
         else:
             entry, x_bin, y_bin = F.col("entry"), F.col("x_bin"), F.col("y_bin")
         names = F.array(*[F.lit(s.name) for s in specs])

@@ -10,6 +10,7 @@ from tallygrid.operators.derive import (
     pick,
 )
 from tallygrid.operators.fill import fill_catalogue, hist1d, hist2d
+from tallygrid.operators.geometry import spec_table
 from tallygrid.operators.render import (
     dense_counts,
     heatmap_bars,
@@ -25,7 +26,6 @@ from tallygrid.operators.stats import (
     count_range,
     legend1d,
     legend2d,
-    spec_table,
     stats1d,
     stats2d,
 )

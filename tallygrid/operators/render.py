@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from tallygrid.functions.binning import bin_start
 from tallygrid.functions.colors import OVERLAY_COLORS, channel, color_position
 from tallygrid.functions.text import plain_number
-from tallygrid.operators.stats import count_range, spec_table
+from tallygrid.operators.geometry import (
+    geometry,
+    one_dimensional,
+    spec_table,
+    two_dimensional,
+    with_empty,
+)
+from tallygrid.operators.stats import count_range
 from tallygrid.specs import Hist1D, Hist2D, HistSpec, unique_specs
 
 
 def dense_counts(counts: DataFrame, specs: Iterable[Hist1D]) -> DataFrame:
     """``(hist, bin, start, end, count)`` for every bin of every 1D spec, empty bins included."""
-    table = spec_table(counts.sparkSession, specs)
+    table = spec_table(counts.sparkSession, one_dimensional(specs))
     bins = table.select(
         "hist", "x_lo", "x_width", F.explode(F.sequence(F.lit(0), F.col("x_bins") - 1)).alias("bin")
     )
@@ -51,32 +58,38 @@ def step_points(counts: DataFrame, specs: Iterable[Hist1D]) -> DataFrame:
 
 def heatmap_cells(counts: DataFrame, specs: Iterable[Hist2D]) -> DataFrame:
     """``(hist, x_bin, y_bin, x, y, bar_width, height, count)`` for every non-empty 2D bin."""
-    table = F.broadcast(spec_table(counts.sparkSession, specs))
-    x0 = bin_start(F.col("x_bin"), F.col("x_lo"), F.col("x_width"))
-    y0 = bin_start(F.col("y_bin"), F.col("y_lo"), F.col("y_width"))
-    return counts.join(table, "hist").select(
-        "hist",
-        "x_bin",
-        "y_bin",
-        ((x0 + (x0 + F.col("x_width"))) / F.lit(2.0)).alias("x"),
-        ((y0 + (y0 + F.col("y_width"))) / F.lit(2.0)).alias("y"),
-        F.col("x_width").alias("bar_width"),
-        F.col("y_width").alias("height"),
-        "count",
+    chosen = two_dimensional(specs)
+    x_start = bin_start(F.col("x_bin"), F.col("spec.x_lo"), F.col("spec.x_width"))
+    y_start = bin_start(F.col("y_bin"), F.col("spec.y_lo"), F.col("spec.y_width"))
+    return (
+        counts.where(F.col("hist").isin([s.name for s in chosen]))
+        .withColumn("spec", geometry(chosen, F.col("hist")))
+        .withColumns({"x0": x_start, "y0": y_start})
+        .select(
+            "hist",
+            "x_bin",
+            "y_bin",
+            ((F.col("x0") + (F.col("x0") + F.col("spec.x_width"))) / F.lit(2.0)).alias("x"),
+            ((F.col("y0") + (F.col("y0") + F.col("spec.y_width"))) / F.lit(2.0)).alias("y"),
+            F.col("spec.x_width").alias("bar_width"),
+            F.col("spec.y_width").alias("height"),
+            "count",
+        )
     )
 
 
 def heatmap_bars(counts: DataFrame, specs: Iterable[Hist2D]) -> DataFrame:
     """Heat-map cells with base offset, label and viridis colour.
 
-    The colour scale needs the largest count of each histogram: one row per histogram,
-    joined back by broadcast. Both branches read the same count table, so Spark reuses
-    its shuffle; over a persisted table nothing is computed twice.
+    The colour scale needs the largest count of each histogram: a scalar subquery with
+    one map entry per histogram. It reads the same count table as the cells, so Spark
+    reuses its shuffle; over a persisted table nothing is computed twice.
     """
-    chosen = unique_specs(specs)
-    scale = F.broadcast(count_range(counts, chosen).select("hist", "min_count", "max_count"))
-    cells = heatmap_cells(counts, chosen).join(scale, "hist")
-    position = color_position(F.col("count"), F.col("min_count"), F.col("max_count"))
+    chosen = two_dimensional(specs)
+    scale = count_range(counts, chosen).agg(
+        F.map_from_entries(F.collect_list(F.struct("hist", "max_count")))
+    )
+    high = F.element_at(scale.scalar(), F.col("hist"))
     label = F.concat(
         F.lit("x = "),
         plain_number(F.col("x")),
@@ -85,7 +98,10 @@ def heatmap_bars(counts: DataFrame, specs: Iterable[Hist2D]) -> DataFrame:
         F.lit("\n"),
         F.col("count").cast("string"),
     )
-    return cells.withColumn("position", position).select(
+    # a cell has a count, so its histogram is not empty and its scale starts at 1
+    position = color_position(F.col("count"), F.lit(1), F.col("high"))
+    cells = heatmap_cells(counts, chosen).withColumn("high", high).withColumn("place", position)
+    return cells.select(
         "hist",
         "x_bin",
         "y_bin",
@@ -96,9 +112,9 @@ def heatmap_bars(counts: DataFrame, specs: Iterable[Hist2D]) -> DataFrame:
         "count",
         (F.col("y") - F.col("height") / F.lit(2.0)).alias("base_offset"),
         label.alias("label"),
-        channel(F.col("position"), 0).alias("red"),
-        channel(F.col("position"), 1).alias("green"),
-        channel(F.col("position"), 2).alias("blue"),
+        channel(F.col("place"), 0).alias("red"),
+        channel(F.col("place"), 1).alias("green"),
+        channel(F.col("place"), 2).alias("blue"),
     )
 
 
@@ -114,18 +130,12 @@ def hist_kind(spark: SparkSession, specs: Iterable[HistSpec], name: str) -> Data
 
 def hist_totals(counts: DataFrame, specs: Iterable[HistSpec]) -> DataFrame:
     """``(hist, kind, entries, filled_bins)`` for every spec, zeros for an empty histogram."""
-    totals = counts.groupBy("hist").agg(
-        F.sum("count").alias("entries"), F.count("count").alias("filled_bins")
-    )
-    return (
-        spec_table(counts.sparkSession, specs)
-        .join(F.broadcast(totals), "hist", "left")
-        .select(
-            "hist",
-            "kind",
-            F.coalesce("entries", F.lit(0)).alias("entries"),
-            F.coalesce("filled_bins", F.lit(0)).alias("filled_bins"),
-        )
+    chosen = unique_specs(specs)
+    totals = with_empty(counts, chosen).groupBy("hist")
+    return totals.agg(
+        F.sum("count").alias("entries"), F.count_if(F.col("count") > 0).alias("filled_bins")
+    ).select(
+        "hist", geometry(chosen, F.col("hist"))["kind"].alias("kind"), "entries", "filled_bins"
     )
 
 

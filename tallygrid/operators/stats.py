@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.text import two_decimals
-from tallygrid.specs import Axis, Hist1D, Hist2D, HistSpec, unique_specs
+from tallygrid.operators.geometry import geometry, one_dimensional, two_dimensional, with_empty
+from tallygrid.specs import Axis, Hist1D, Hist2D, HistSpec
 
 Window = tuple[float, float]
 
@@ -22,27 +23,6 @@ EMPTY_MIN_COUNT = 4294967295
 """Minimum count of a 2D histogram nothing has been counted in."""
 
 
-def spec_table(spark: SparkSession, specs: Iterable[HistSpec]) -> DataFrame:
-    """One row per histogram with its geometry; as long as the list of specs, so safe to broadcast."""
-    rows = [
-        F.struct(
-            F.lit(number).alias("position"),
-            F.lit(s.name).alias("hist"),
-            F.lit(s.kind).alias("kind"),
-            F.lit(s.x.bins).cast("bigint").alias("x_bins"),
-            F.lit(float(s.x.lo)).alias("x_lo"),
-            F.lit(s.x.width).alias("x_width"),
-            F.lit(s.y.bins if isinstance(s, Hist2D) else None).cast("bigint").alias("y_bins"),
-            F.lit(float(s.y.lo) if isinstance(s, Hist2D) else None).cast("double").alias("y_lo"),
-            F.lit(s.y.width if isinstance(s, Hist2D) else None).cast("double").alias("y_width"),
-        )
-        for number, s in enumerate(unique_specs(specs))
-    ]
-    if not rows:
-        raise ValueError("at least one histogram is needed")
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
-
-
 def bin_window(axis: Axis, window: Window | None, strict: bool = False) -> tuple[int, int | None]:
     """First and last bin (None: no upper limit) of a value window.
 
@@ -85,29 +65,41 @@ def _in_window(
 
 def _sums(axis: str) -> list[Column]:
     # decimals: c * i * i passes 2**63 at some 10**11 events on a fine axis
-    count = F.col("count").cast("decimal(20,0)")
-    index = F.col(f"{axis}_bin").cast("decimal(20,0)")
     return [
-        F.sum((count * index).cast("decimal(38,0)")).alias(f"{axis}_s1"),
-        F.sum((count * index * index).cast("decimal(38,0)")).alias(f"{axis}_s2"),
+        F.expr(f"sum({power}) AS {axis}_s{p}")
+        for p, power in (
+            (1, f"cast(count AS decimal(20,0)) * cast({axis}_bin AS decimal(18,0))"),
+            (2, f"cast(count AS decimal(20,0)) * cast({axis}_bin * {axis}_bin AS decimal(18,0))"),
+        )
     ]
 
 
-def _mean_and_deviation(axis: str) -> tuple[Column, Column]:
-    total = F.col("n").cast("decimal(20,0)")
-    n = F.col("n").cast("double")
-    s1, s2 = F.col(f"{axis}_s1"), F.col(f"{axis}_s2")
-    lo, width = F.col(f"{axis}_lo"), F.col(f"{axis}_width")
-    middle = F.round(s1.cast("double") / n).cast("decimal(20,0)")
-    first = (s1 - middle * total).cast("double") / n
-    second = (s2 - middle * s1 * F.lit(2) + middle * middle * total).cast("double") / n
-    mean = lo + (middle.cast("double") + first + F.lit(0.5)) * width
-    variance = F.greatest(second - first * first, F.lit(0.0))
-    empty = F.coalesce(F.col("n"), F.lit(0)) == F.lit(0)
-    return (
-        F.when(empty, F.lit(0.0)).otherwise(mean),
-        F.when(empty, F.lit(0.0)).otherwise(F.sqrt(variance) * width),
+def _mean_and_deviation(axis: str) -> list[Column]:
+    """``mean`` and ``stdev`` of one axis from its sums, zero when nothing was counted."""
+    s1, s2 = f"{axis}_s1", f"{axis}_s2"
+    middle = f"cast(round(cast({s1} AS double) / n) AS decimal(18,0))"
+    first = f"cast({s1} - {middle} * cast(n AS decimal(20,0)) AS double) / n"
+    second = (
+        f"cast({s2} - 2 * {middle} * {s1} + {middle} * {middle} * cast(n AS decimal(20,0)) "
+        "AS double) / n"
     )
+    mean = f"spec.{axis}_lo + ({middle} + {first} + 0.5D) * spec.{axis}_width"
+    stdev = f"sqrt(greatest({second} - ({first}) * ({first}), 0D)) * spec.{axis}_width"
+    return [F.expr(f"if(n = 0, 0D, {value})") for value in (mean, stdev)]
+
+
+def _per_histogram(
+    counts: DataFrame,
+    specs: Sequence[HistSpec],
+    x: Window | None,
+    y: Window | None,
+    strict: bool,
+    axes: str,
+) -> DataFrame:
+    inside = counts.where(_in_window(specs, x, y, strict))
+    sums = [column for axis in axes for column in _sums(axis)]
+    grouped = with_empty(inside, specs).groupBy("hist").agg(F.sum("count").alias("n"), *sums)
+    return grouped.withColumn("spec", geometry(specs, F.col("hist")))
 
 
 def stats1d(
@@ -121,13 +113,10 @@ def stats1d(
     The window snaps to whole bins, and its end bin counts. Mean and deviation are
     those of the bin centres, in the population form.
     """
-    chosen = unique_specs(specs)
-    wanted = counts.where(_in_window(chosen, x, None, strict_window))
-    sums = wanted.groupBy("hist").agg(F.sum("count").alias("n"), *_sums("x"))
-    table = spec_table(counts.sparkSession, chosen)
+    sums = _per_histogram(counts, one_dimensional(specs), x, None, strict_window, "x")
     mean, stdev = _mean_and_deviation("x")
-    return table.join(F.broadcast(sums), "hist", "left").select(
-        "hist", F.coalesce("n", F.lit(0)).alias("count"), mean.alias("mean"), stdev.alias("stdev")
+    return sums.select(
+        "hist", F.col("n").alias("count"), mean.alias("mean"), stdev.alias("stdev")
     )
 
 
@@ -139,15 +128,12 @@ def stats2d(
     strict_window: bool = False,
 ) -> DataFrame:
     """``(hist, count, mean_x, stdev_x, mean_y, stdev_y)`` for every 2D spec, as ``stats1d``."""
-    chosen = unique_specs(specs)
-    wanted = counts.where(_in_window(chosen, x, y, strict_window))
-    sums = wanted.groupBy("hist").agg(F.sum("count").alias("n"), *_sums("x"), *_sums("y"))
-    table = spec_table(counts.sparkSession, chosen)
+    sums = _per_histogram(counts, two_dimensional(specs), x, y, strict_window, "xy")
     mean_x, stdev_x = _mean_and_deviation("x")
     mean_y, stdev_y = _mean_and_deviation("y")
-    return table.join(F.broadcast(sums), "hist", "left").select(
+    return sums.select(
         "hist",
-        F.coalesce("n", F.lit(0)).alias("count"),
+        F.col("n").alias("count"),
         mean_x.alias("mean_x"),
         stdev_x.alias("stdev_x"),
         mean_y.alias("mean_y"),
@@ -162,17 +148,14 @@ def count_range(counts: DataFrame, specs: Iterable[Hist2D]) -> DataFrame:
     as there is one event; it anchors the colour scale. ``true_min`` is the smallest
     count of a non-empty bin. An empty histogram has 4294967295, 0 and NULL.
     """
-    chosen = unique_specs(specs)
-    names = [s.name for s in chosen]
-    found = counts.where(F.col("hist").isin(names)).groupBy("hist")
-    extremes = found.agg(F.max("count").alias("largest"), F.min("count").alias("true_min"))
-    table = spec_table(counts.sparkSession, chosen)
-    smallest = F.when(F.col("largest").isNull(), F.lit(EMPTY_MIN_COUNT)).otherwise(F.lit(1))
-    return table.join(F.broadcast(extremes), "hist", "left").select(
-        "hist",
-        smallest.cast("bigint").alias("min_count"),
-        F.coalesce("largest", F.lit(0)).cast("bigint").alias("max_count"),
-        "true_min",
+    grouped = with_empty(counts, two_dimensional(specs)).groupBy("hist")
+    found = grouped.agg(
+        F.max("count").alias("max_count"),
+        F.min(F.when(F.col("count") > 0, F.col("count"))).alias("true_min"),
+    )
+    smallest = F.when(F.col("max_count") == 0, F.lit(EMPTY_MIN_COUNT)).otherwise(F.lit(1))
+    return found.select(
+        "hist", smallest.cast("bigint").alias("min_count"), "max_count", "true_min"
     )
 
 

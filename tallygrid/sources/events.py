@@ -7,8 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SOURCE_COLUMN = "source_file"
-
 
 def display_name(file_name: Column) -> Column:
     """File name without a trailing ``.parquet``."""
@@ -20,6 +18,11 @@ def file_stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"^(.+)\.[^.]*$", "$1")
 
 
+def source_file() -> Column:
+    """Name of the file a row was read from. Spark gives it in URI form, where + is a plain sign."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def _last_part(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -87,4 +90,4 @@ def scan_events(
         return events
     if source_column in events.columns:
         raise ValueError(f"the event table already has a column {source_column!r}")
-    return events.select("*", F.col("_metadata.file_name").alias(source_column))
+    return events.select("*", source_file().alias(source_column))

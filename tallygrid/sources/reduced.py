@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.operators.cuts import apply_cuts
-from tallygrid.sources.events import file_stem, scan_events
+from tallygrid.sources.events import file_stem, scan_events, source_file
 from tallygrid.specs import Cut
 
 OUTPUT_COLUMN = "out_name"
@@ -59,8 +59,7 @@ def save_separate(
     if clashes:
         raise ValueError(f"several inputs share an output: {[c[OUTPUT_COLUMN] for c in clashes]}")
 
-    source = F.col("_metadata.file_name")
-    tagged = events.select("*", _output_name(source, suffix).alias(OUTPUT_COLUMN))
+    tagged = events.select("*", _output_name(source_file(), suffix).alias(OUTPUT_COLUMN))
     rows = apply_cuts(tagged, cuts, **cut_options)
     if compact:
         rows = rows.hint("rebalance", OUTPUT_COLUMN)

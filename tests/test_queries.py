@@ -1,0 +1,36 @@
+"""Every registered query against its SQL, on whole tables of the smallest scale factor."""
+
+import sys
+
+import duckdb
+import pytest
+
+sys.path.insert(0, ".")
+
+import __spark_entry__ as entry
+from check import normal
+from tallygrid.plans.oracles import TABLES
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    return connection
+
+
+def test_every_query_has_sql():
+    assert set(entry.oracle_sql()) == set(entry.queries())
+
+
+def test_entry_has_rows(spark):
+    assert not entry.entry(spark).isEmpty()
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query_equals_sql(spark, sf_dir, duck, name):
+    got = entry.queries()[name](spark, sf_dir).toPandas()
+    want = duck.execute(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert normal(got).equals(normal(want))

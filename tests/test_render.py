@@ -1,0 +1,100 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallygrid import (
+    Axis,
+    Hist1D,
+    Hist2D,
+    detector_specs,
+    fill_catalogue,
+    heatmap_bars,
+    heatmap_cells,
+    hist_kind,
+    hist_names,
+    hist_totals,
+    overlay,
+    step_points,
+)
+from tallygrid.functions.colors import VIRIDIS_KEYS, channel, color_position
+
+FLAT = Hist1D("flat", Axis("v", 5, 0.0, 1.0))
+GONE = Hist1D("gone", Axis("v", 3, 5.0, 8.0))
+SQUARE = Hist2D("square", FLAT.x, Axis("w", 4, -2.0, 2.0))
+SPECS = [FLAT, GONE, SQUARE]
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    rows = [(0.1, -1.5), (0.1, -1.5), (0.5, 0.5), (0.7, 9.0)]
+    return fill_catalogue(spark.createDataFrame(rows, "v double, w double"), SPECS).persist()
+
+
+def test_step_points_cover_empty_bins(counts):
+    rows = step_points(counts, [FLAT, GONE]).orderBy("hist", "bin", "side").collect()
+    assert len(rows) == 2 * (5 + 3)
+    flat = [(r["x"], r["count"]) for r in rows if r["hist"] == "flat"]
+    width = FLAT.x.width
+    want = []
+    for i, n in enumerate([2.0, 0.0, 1.0, 1.0, 0.0]):
+        want += [(i * width, n), (i * width + width, n)]
+    assert flat == want
+    assert all(r["count"] == 0 for r in rows if r["hist"] == "gone")
+
+
+def test_cells_are_centered(counts):
+    rows = {(r["x_bin"], r["y_bin"]): r for r in heatmap_cells(counts, [SQUARE]).collect()}
+    assert set(rows) == {(0, 0), (2, 2)}
+    assert rows[0, 0]["x"] == pytest.approx(0.1)
+    assert rows[0, 0]["y"] == -1.5
+    assert (rows[0, 0]["bar_width"], rows[0, 0]["height"]) == (FLAT.x.width, 1.0)
+    assert rows[0, 0]["count"] == 2
+
+
+def test_bars_have_offset_label_and_color(counts):
+    rows = {r["x_bin"]: r for r in heatmap_bars(counts, [SQUARE]).collect()}
+    assert rows[0]["base_offset"] == -2.0
+    assert rows[0]["label"] == "x = 0.1\ny = -1.5\n2"
+    top = tuple(int(np.float32(c) * np.float32(255)) for c in VIRIDIS_KEYS[-1])
+    low = tuple(int(np.float32(c) * np.float32(255)) for c in VIRIDIS_KEYS[0])
+    assert tuple(rows[0][c] for c in ("red", "green", "blue")) == top
+    assert tuple(rows[2][c] for c in ("red", "green", "blue")) == low
+
+
+@pytest.mark.parametrize("high", [1, 2, 97, 1000, 4_000_000_000])
+def test_colors_match_single_precision(spark, high):
+    df = spark.range(1, 400).select(
+        (F.lit(1) + F.col("id") * F.lit(max(1, high // 399)) % F.lit(high)).alias("n")
+    )
+    place = color_position(F.col("n"), F.lit(1), F.lit(high))
+    rows = df.select("n", *[channel(place, c).alias(f"c{c}") for c in range(3)]).collect()
+    keys = np.array(VIRIDIS_KEYS, np.float32)
+    for r in rows:
+        share = (r["n"] - 1.0) / (high - 1.0) if high > 1 else 0.0
+        scaled = min(1.0, max(0.0, share)) * 31.0
+        index = int(np.floor(scaled))
+        fraction = np.float32(scaled - np.floor(scaled))
+        for c in range(3):
+            a, b = keys[index][c], keys[min(index + 1, 31)][c]
+            level = (a + fraction * (b - a)) * np.float32(255)
+            assert r[f"c{c}"] == int(level)
+
+
+def test_names_kinds_and_totals(spark, counts):
+    names = [r["hist"] for r in hist_names(spark, detector_specs()).collect()]
+    assert names == sorted(s.name for s in detector_specs())
+    assert [tuple(r) for r in hist_kind(spark, SPECS, "square").collect()] == [("square", "2d")]
+    assert hist_kind(spark, SPECS, "nope").count() == 0
+    totals = {r["hist"]: tuple(r)[1:] for r in hist_totals(counts, SPECS).collect()}
+    assert totals == {"flat": ("1d", 4, 3), "gone": ("1d", 0, 0), "square": ("2d", 3, 2)}
+
+
+def test_overlay_positions_and_colors(counts):
+    names = ["a", "b", "c", "d", "square", "flat", "square", "nope"]
+    rows = overlay(counts, names).select("hist", "position", "color_index", "color").distinct()
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        ("flat", 5, 0, "LIGHT_BLUE"),
+        ("square", 4, 4, "LIGHT_GRAY"),
+    ]
+    with pytest.raises(ValueError):
+        overlay(counts, [])

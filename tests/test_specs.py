@@ -1,0 +1,68 @@
+import math
+
+import pytest
+
+from tallygrid import Axis, Cut, Hist1D, bin_window, detector_specs
+from tallygrid.specs import require_columns, unique_cuts, unique_specs
+
+AXIS = Axis("v", 600, -300.0, 300.0)
+
+
+@pytest.mark.parametrize("bad", [("", 1, 0, 1), ("v", 0, 0, 1), ("v", 1, 1, 1), ("v", 1, 2, 1)])
+def test_axis_is_checked(bad):
+    with pytest.raises(ValueError):
+        Axis(*bad)
+
+
+def test_axis_rejects_unbounded_range():
+    with pytest.raises(ValueError):
+        Axis("v", 10, 0.0, math.inf)
+
+
+def test_bound_lookup_includes_upper_end():
+    assert AXIS.bin_of(-300.0) == 0
+    assert AXIS.bin_of(0.5) == 300
+    assert AXIS.bin_of(300.0) == 600
+    assert AXIS.bin_of(-300.1) is None
+    assert AXIS.bin_of(300.1) is None
+    assert AXIS.bin_of(math.nan) == 0
+
+
+def test_window_falls_back_to_the_ends():
+    assert bin_window(AXIS, None) == (0, None)
+    assert bin_window(AXIS, (-10.0, 10.0)) == (290, 310)
+    assert bin_window(AXIS, (-900.0, 10.0)) == (0, 310)
+    assert bin_window(AXIS, (-10.0, 900.0)) == (290, None)
+    assert bin_window(AXIS, (400.0, 900.0)) == (0, None)
+    assert bin_window(AXIS, (-900.0, -400.0)) == (0, None)
+
+
+def test_strict_window_outside_is_empty():
+    first, last = bin_window(AXIS, (400.0, 900.0), strict=True)
+    assert first > last
+    assert bin_window(AXIS, (-900.0, 10.0), strict=True) == (0, 310)
+
+
+def test_names_are_unique():
+    with pytest.raises(ValueError, match="'a'"):
+        unique_specs([Hist1D("a", AXIS), Hist1D("a", AXIS)])
+    with pytest.raises(ValueError, match="cut_1"):
+        unique_cuts([Cut("cut_1", ()), Cut("cut_1", ())])
+
+
+def test_missing_columns_are_all_named():
+    with pytest.raises(ValueError, match=r"\['x', 'y'\]"):
+        require_columns(["a"], ["y", "a", "x"])
+
+
+def test_cut_default_file_name():
+    assert Cut("c", (), "X1", "Energy").default_file_name == "Energy_X1_cut.json"
+    assert Cut("c", (), "X1", None).default_file_name == "cut.json"
+
+
+def test_catalogue_has_58_entries():
+    specs = detector_specs()
+    assert len(specs) == 58
+    assert sum(s.kind == "1d" for s in specs) == 16
+    assert len({s.name for s in specs}) == 58
+    assert sum(s.x.bins for s in specs if s.kind == "1d") == 7 * 600 + 9 * 1000

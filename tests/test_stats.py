@@ -1,0 +1,143 @@
+import math
+import random
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallygrid import (
+    Axis,
+    Hist1D,
+    Hist2D,
+    count_range,
+    fill_catalogue,
+    hist1d,
+    hist2d,
+    legend1d,
+    legend2d,
+    stats1d,
+    stats2d,
+)
+from tallygrid.functions.text import plain_number, two_decimals
+
+FLAT = Hist1D("h", Axis("v", 68, -12.0, 5.0))
+SQUARE = Hist2D("s", FLAT.x, Axis("w", 16, 0.0, 2.0))
+EMPTY = Hist1D("empty", Axis("v", 10, 1e5, 2e5))
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    rng = random.Random(3)
+    rows = [(rng.gauss(1, 1.5), rng.uniform(-0.5, 2.5)) for _ in range(3000)]
+    rows += [(math.nextafter(5.0, 0.0), 1.0)] * 7
+    df = spark.createDataFrame(rows, "v double, w double")
+    return fill_catalogue(df, [FLAT, SQUARE, EMPTY]).persist()
+
+
+def expected(rows, axis, key):
+    total = sum(r["count"] for r in rows)
+    if total == 0:
+        return 0.0, 0.0
+    centers = [(axis.lo + r[key] * axis.width + axis.width * 0.5, r["count"]) for r in rows]
+    mean = math.fsum(c * n for c, n in centers) / total
+    return mean, math.sqrt(math.fsum(n * (c - mean) ** 2 for c, n in centers) / total)
+
+
+@pytest.mark.parametrize(
+    "window",
+    [None, (0.0, 2.0), (-99.0, 1.05), (1.0, 99.0), (50.0, 60.0), (-60.0, -50.0), (2.0, 1.0), (0.3, 5.0)],
+)
+def test_stats1d(counts, window):
+    row = stats1d(counts, [FLAT], window).collect()[0]
+    low, high = (0, None)
+    if window is not None:
+        first, last = FLAT.x.bin_of(window[0]), FLAT.x.bin_of(window[1])
+        low, high = first or 0, FLAT.x.bins - 1 if last is None else last
+    held = counts.where("hist = 'h'").collect()
+    held = [r for r in held if r["x_bin"] >= low and (high is None or r["x_bin"] <= high)]
+    mean, stdev = expected(held, FLAT.x, "x_bin")
+    assert row["count"] == sum(r["count"] for r in held)
+    assert row["mean"] == pytest.approx(mean, abs=1e-12)
+    assert row["stdev"] == pytest.approx(stdev, abs=1e-12)
+
+
+def test_stats_of_nothing_are_zero(counts):
+    rows = stats1d(counts, [EMPTY, FLAT], (2.0, 1.0)).collect()
+    assert sorted(tuple(r) for r in rows) == [("empty", 0, 0.0, 0.0), ("h", 0, 0.0, 0.0)]
+    strict = stats1d(counts, [FLAT], (50.0, 60.0), strict_window=True).collect()
+    assert tuple(strict[0]) == ("h", 0, 0.0, 0.0)
+    square = stats2d(counts, [SQUARE], (0.0, 1.0), (50.0, 60.0), strict_window=True).collect()
+    assert tuple(square[0]) == ("s", 0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_stats2d_takes_the_extra_bin(counts):
+    held = counts.where("hist = 's'").collect()
+    assert max(r["x_bin"] for r in held) == FLAT.x.bins
+    for window in [None, (-99.0, 99.0), (0.0, 5.0)]:
+        row = stats2d(counts, [SQUARE], window, (0.5, 1.5)).collect()[0]
+        low = 0 if window is None else SQUARE.x.bin_of(window[0]) or 0
+        chosen = [r for r in held if r["x_bin"] >= low and 4 <= r["y_bin"] <= 12]
+        assert row["count"] == sum(r["count"] for r in chosen)
+        for axis, key in ((SQUARE.x, "x"), (SQUARE.y, "y")):
+            mean, stdev = expected(chosen, axis, f"{key}_bin")
+            assert row[f"mean_{key}"] == pytest.approx(mean, abs=1e-12)
+            assert row[f"stdev_{key}"] == pytest.approx(stdev, abs=1e-12)
+
+
+def test_stats_of_very_large_counts(spark):
+    spec = Hist1D("h", Axis("v", 10**6, 0.0, 1.0))
+    rows = [("h", i, None, 10**14) for i in (999_990, 999_991, 999_993)]
+    counts = spark.createDataFrame(rows, "hist string, x_bin long, y_bin long, count long")
+    row = stats1d(counts, [spec]).collect()[0]
+    assert row["count"] == 3 * 10**14
+    assert row["stdev"] / spec.x.width == pytest.approx(math.sqrt(14 / 9), rel=1e-9)
+
+
+def test_count_range(counts):
+    gone = Hist2D("gone", SQUARE.x, SQUARE.y)
+    found = {r["hist"]: tuple(r)[1:] for r in count_range(counts, [SQUARE, gone]).collect()}
+    largest = max(r["count"] for r in counts.where("hist = 's'").collect())
+    smallest = min(r["count"] for r in counts.where("hist = 's'").collect())
+    assert found == {"s": (1, largest, smallest), "gone": (4294967295, 0, None)}
+
+
+def test_legends(counts):
+    flat = stats1d(counts, [FLAT])
+    row = flat.collect()[0]
+    lines = [r["line"] for r in legend1d(flat).orderBy("line_no").collect()]
+    assert lines == [
+        f"Integral: {row['count']}",
+        f"Mean: {row['mean']:.2f}",
+        f"Stdev: {row['stdev']:.2f}",
+    ]
+    square = legend2d(stats2d(counts, [SQUARE])).orderBy("line_no").collect()
+    heads = [r["line"].split(":")[0] for r in square]
+    assert heads == ["Integral", "Mean X", "Stdev X", "Mean Y", "Stdev Y"]
+
+
+def test_two_decimals_round_the_exact_value(spark):
+    rng = random.Random(11)
+    values = [0.0, 0.125, 0.375, 2.675, 1.005, 0.005, 0.994999999, 0.995, 0.9999999, 1e-9, 123456.785]
+    values += [rng.uniform(-1e4, 1e4) for _ in range(2000)]
+    values += [round(rng.uniform(-50, 50), 3) for _ in range(2000)]
+    values += [k / 8 for k in range(-40, 40)] + [2.0**52 + 1, 1e15 + 0.5]
+    values += [math.nextafter(k / 200, 9) for k in range(100)]
+    values += [math.nextafter(k / 200, -9) for k in range(1, 100)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for v, text in df.select("v", two_decimals(F.col("v"))).collect():
+        exact = Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
+        assert text == f"{exact:f}", v
+
+
+def test_plain_numbers(spark):
+    values = [0.5, 10.0, -3.0, 820.3125, 1e7, 123456789.25, 1e20, 0.00025, -1e-7, 1e-3, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for v, text in df.select("v", plain_number(F.col("v"))).collect():
+        want = f"{Decimal(repr(v)).normalize():f}" if v else "0"
+        assert text == want
+
+
+def test_single_histograms_feed_statistics(spark):
+    df = spark.createDataFrame([(0.1, 1.0), (0.2, 1.0)], "v double, w double")
+    assert stats1d(hist1d(df, FLAT), [FLAT]).collect()[0]["count"] == 2
+    assert stats2d(hist2d(df, SQUARE), [SQUARE]).collect()[0]["count"] == 2

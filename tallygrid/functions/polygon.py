@@ -3,23 +3,25 @@
 A point is inside when the winding number of the closed ring around it is not zero
 (so the middle of a self-crossing star is inside) and it lies on no edge.
 
-Cost per row does not grow with the polygon where it can be avoided:
+Cost per row hardly grows with the polygon:
 
 * four comparisons against the bounding box come first; they prune Parquet row
   groups and leave the exact test to rows near the polygon;
-* a polygon of few edges is spelled out term by term, inside generated code;
-* a larger one is indexed once, while the plan is built: the y range is divided into
-  equal strips, each listing the edges that reach into it. A row looks up its own
-  strip and visits those edges only. Strip numbers come from the same monotone
-  double formula for edges and points, so no edge can be missed by rounding.
+* a grid over the bounding box, prepared while the plan is built, says of each cell
+  that it is outside, inside, or near an edge; the first two settle a row by one array
+  lookup in generated code, whatever the polygon looks like;
+* for rows near an edge the y range is divided into equal strips, each listing the
+  edges that reach into it, and a row visits the edges of its strip only.
+
+Cell and strip numbers come from the same monotone double formula for edges and points,
+and the neighbours of every cell an edge touches count as near it, so rounding cannot
+move a point past an edge.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import math
-import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,14 +30,15 @@ from pyspark.sql import functions as F
 Vertex = tuple[float, float]
 Edge = tuple[float, float, float, float]
 
-# Generated methods above 8,000 bytes are never compiled to machine code by the JVM;
-# one spelled-out edge takes some 200 bytes.
-SPELLED_OUT_EDGES = 12
 MAX_STRIPS = 4096
+MAX_LISTED = 16
+GRID = 128
+
+OUTSIDE, INSIDE, NEAR_EDGE = 0, 1, 2
 
 # Far above any winding number, so that one sum carries both.
 _ON_EDGE = 1 << 40
-_EDGE_TYPE = "array<array<struct<x1: double, y1: double, x2: double, y2: double>>>"
+_EDGES = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
 
 
 def ring_edges(vertices: Sequence[Vertex]) -> list[Edge]:
@@ -70,27 +73,88 @@ def inside_polygon(x: Column, y: Column, vertices: Sequence[Vertex]) -> Column:
     if not has_area(vertices):
         return F.lit(False)
     edges = ring_edges(vertices)
-    if len(edges) <= SPELLED_OUT_EDGES:
-        total = functools.reduce(operator.add, [_spelled_out(x, y, edge) for edge in edges])
-    else:
-        total = _from_strips(x, y, edges)
-    off_edges = total < F.lit(_ON_EDGE // 2)
-    return bounding_box(x, y, vertices) & (total != F.lit(0)) & off_edges
-
-
-def strips(edges: Sequence[Edge]) -> tuple[float, float, list[list[Edge]]]:
-    """Lowest y, strip height, and per strip the edges that reach into it."""
-    lowest = min(min(e[1], e[3]) for e in edges)
-    highest = max(max(e[1], e[3]) for e in edges)
+    cell = _cell(x, y, edges)
+    winding = _winding(x, y, edges)
+    exact = (winding != F.lit(0)) & (winding < F.lit(_ON_EDGE // 2))
+    settled = F.when(cell == F.lit(NEAR_EDGE), exact).otherwise(cell == F.lit(INSIDE))
+    return bounding_box(x, y, vertices) & settled
+
+
+def cells(edges: Sequence[Edge]) -> tuple[Edge, list[int]]:
+    """The grid as (lowest x, lowest y, cell width, cell height), and the kind of each cell.
+
+    Cells are listed column by column. A cell is near an edge if an edge passes through
+    it or through one of its eight neighbours.
+    """
+    low_x, low_y = min(e[0] for e in edges), min(e[1] for e in edges)
+    width = (max(e[0] for e in edges) - low_x) / GRID
+    height = (max(e[1] for e in edges) - low_y) / GRID
+    size = GRID + 1
+    kinds = [OUTSIDE] * (size * size)
+    near = [[False] * size for _ in range(size)]
+    for x1, y1, x2, y2 in edges:
+        first = _strip_of(min(x1, x2), low_x, width)
+        last = _strip_of(max(x1, x2), low_x, width)
+        for column in range(max(first - 1, 0), min(last + 2, size)):
+            # the part of the edge over this column and its neighbours
+            left, right = low_x + (column - 1) * width, low_x + (column + 2) * width
+            ends = [0.0, 1.0]
+            if x1 != x2:
+                ends = [min(1.0, max(0.0, (x - x1) / (x2 - x1))) for x in (left, right)]
+            ys = [y1 + t * (y2 - y1) for t in ends]
+            bottom = max(_strip_of(min(ys), low_y, height) - 1, 0)
+            top = min(_strip_of(max(ys), low_y, height) + 2, size)
+            near[column][bottom:top] = [True] * (top - bottom)
+    for row in range(size):
+        y = low_y + (row + 0.5) * height
+        crossings = sorted(
+            (x1 + (y - y1) / (y2 - y1) * (x2 - x1), 1 if y1 < y2 else -1)
+            for x1, y1, x2, y2 in edges
+            if min(y1, y2) <= y < max(y1, y2)
+        )
+        passed, winding = 0, sum(step for _, step in crossings)
+        for column in range(size):
+            x = low_x + (column + 0.5) * width
+            while passed < len(crossings) and crossings[passed][0] <= x:
+                winding -= crossings[passed][1]
+                passed += 1
+            kind = INSIDE if winding else OUTSIDE
+            kinds[column * size + row] = NEAR_EDGE if near[column][row] else kind
+    return (low_x, low_y, width, height), kinds
+
+
+def _cell(x: Column, y: Column, edges: Sequence[Edge]) -> Column:
+    (low_x, low_y, width, height), kinds = cells(edges)
+    column = F.floor((x - F.lit(low_x)) / F.lit(width)).cast("int")
+    row = F.floor((y - F.lit(low_y)) / F.lit(height)).cast("int")
+    return F.get(_constant(kinds, "array<int>"), column * F.lit(GRID + 1) + row)
+
+
+def _constant(value: object, schema: str) -> Column:
+    """One JSON literal that the optimizer folds to a value when the plan is built."""
+    return F.from_json(F.lit(json.dumps(value)), schema, {"mode": "FAILFAST"})
+
+
+def strips(edges: Sequence[Edge]) -> tuple[float, float, list[list[int]]]:
+    """Lowest y, strip height, and per strip the numbers of the edges that reach into it.
+
+    Where long edges would be listed over and over, strips get wider instead: the listing
+    stays within a small multiple of the number of edges.
+    """
+    lowest = min(e[1] for e in edges)
+    highest = max(e[1] for e in edges)
     count = min(MAX_STRIPS, 2 * len(edges))
-    height = (highest - lowest) / count
-    table: list[list[Edge]] = [[] for _ in range(count + 1)]
-    for edge in edges:
-        first = _strip_of(min(edge[1], edge[3]), lowest, height)
-        last = _strip_of(max(edge[1], edge[3]), lowest, height)
-        for strip in table[first : last + 1]:
-            strip.append(edge)
-    return lowest, height, table
+    while True:
+        height = (highest - lowest) / count
+        table: list[list[int]] = [[] for _ in range(count + 1)]
+        for number, edge in enumerate(edges):
+            first = _strip_of(min(edge[1], edge[3]), lowest, height)
+            last = _strip_of(max(edge[1], edge[3]), lowest, height)
+            for strip in table[first : last + 1]:
+                strip.append(number)
+        if count == 1 or sum(map(len, table)) <= MAX_LISTED * len(edges):
+            return lowest, height, table
+        count = (count + 1) // 2
 
 
 def _strip_of(y: float, lowest: float, height: float) -> int:
@@ -111,30 +175,12 @@ def _term(x: Column, y: Column, edge: Column) -> Column:
     )
 
 
-def _spelled_out(x: Column, y: Column, edge: Edge) -> Column:
-    """The term of one known edge, with its direction decided here rather than per row."""
-    ex1, ey1, ex2, ey2 = edge
-    x1, y1, x2, y2 = (F.lit(float(v)) for v in edge)
-    none = F.lit(0).cast("bigint")
-    if ey1 == ey2:
-        low, high = F.lit(min(ex1, ex2)), F.lit(max(ex1, ex2))
-        return F.when((y == y1) & (x >= low) & (x <= high), F.lit(_ON_EDGE)).otherwise(none)
-    low_y, high_y = F.lit(min(ey1, ey2)), F.lit(max(ey1, ey2))
-    turn = (x1 - x) * (y2 - y) - (y1 - y) * (x2 - x)
-    crosses = turn > F.lit(0.0) if ey1 < ey2 else turn < F.lit(0.0)
-    step = F.lit(1 if ey1 < ey2 else -1).cast("bigint")
-    return F.when(
-        (y >= low_y) & (y <= high_y),
-        F.when(turn == F.lit(0.0), F.lit(_ON_EDGE))
-        .when(crosses & (y < high_y), step)
-        .otherwise(none),
-    ).otherwise(none)
-
-
-def _from_strips(x: Column, y: Column, edges: Sequence[Edge]) -> Column:
+def _winding(x: Column, y: Column, edges: Sequence[Edge]) -> Column:
     lowest, height, table = strips(edges)
-    rows = [[dict(zip(("x1", "y1", "x2", "y2"), map(float, e))) for e in strip] for strip in table]
-    # one constant: the optimizer folds it to a literal when the plan is built
-    index = F.from_json(F.lit(json.dumps(rows)), _EDGE_TYPE, {"mode": "FAILFAST"})
-    strip = F.get(index, F.floor((y - F.lit(lowest)) / F.lit(height)).cast("int"))
-    return F.aggregate(strip, F.lit(0).cast("bigint"), lambda total, e: total + _term(x, y, e))
+    rows = [dict(zip(("x1", "y1", "x2", "y2"), map(float, edge))) for edge in edges]
+    all_edges = _constant(rows, _EDGES)
+    strip = F.floor((y - F.lit(lowest)) / F.lit(height)).cast("int")
+    near = F.transform(
+        F.get(_constant(table, "array<array<int>>"), strip), lambda i: F.get(all_edges, i)
+    )
+    return F.aggregate(near, F.lit(0).cast("bigint"), lambda total, e: total + _term(x, y, e))

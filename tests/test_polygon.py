@@ -6,7 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrid import Cut, apply_cuts, tag_cuts
-from tallygrid.functions.polygon import SPELLED_OUT_EDGES, inside_polygon, ring_edges, strips
+from tallygrid.functions.polygon import (
+    GRID as CELLS,
+    INSIDE,
+    MAX_LISTED,
+    NEAR_EDGE,
+    cells,
+    inside_polygon,
+    ring_edges,
+    strips,
+)
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
 
@@ -56,7 +65,6 @@ ODD = [(math.nan, 2.0), (2.0, math.nan), (None, 2.0), (2.0, None), (math.inf, 2.
 @pytest.mark.parametrize("times", [1, 16])
 def test_square(spark, times):
     vertices = subdivided(SQUARE, times)
-    assert (len(ring_edges(vertices)) > SPELLED_OUT_EDGES) == (times > 1)
     check(spark, vertices, GRID + ODD[:4])
     check(spark, list(reversed(vertices)), GRID)
     check(spark, [*vertices, vertices[0]], GRID)
@@ -94,7 +102,7 @@ def test_nothing_is_inside_without_area(spark, flat):
 def test_random_polygons(spark, corners):
     rng = random.Random(corners)
     vertices = [(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(corners)]
-    points = [(rng.uniform(-6, 6), rng.uniform(-6, 6)) for _ in range(200)]
+    points = [(rng.uniform(-6, 6), rng.uniform(-6, 6)) for _ in range(600)]
     check(spark, vertices, points + vertices[:20])
 
 
@@ -103,12 +111,30 @@ def test_every_strip_lists_the_edges_that_reach_it():
     vertices = [(rng.uniform(-5, 5), rng.uniform(-1e-3, 1e7)) for _ in range(300)]
     edges = ring_edges(vertices)
     lowest, height, table = strips(edges)
+    assert sum(map(len, table)) <= MAX_LISTED * len(edges)
     for _ in range(3000):
         y = rng.uniform(lowest, max(v[1] for v in vertices))
-        listed = set(table[math.floor((y - lowest) / height)])
+        listed = {edges[i] for i in table[math.floor((y - lowest) / height)]}
         assert {e for e in edges if min(e[1], e[3]) <= y <= max(e[1], e[3])} <= listed
 
 
+@pytest.mark.parametrize("corners", [5, 40, 300])
+def test_settled_cells_hold_no_edge_and_one_answer(corners):
+    rng = random.Random(corners)
+    vertices = [(rng.uniform(-5, 5), rng.uniform(0, 3e4)) for _ in range(corners)]
+    (low_x, low_y, width, height), kinds = cells(ring_edges(vertices))
+    seen = set()
+    for _ in range(400):
+        x = rng.uniform(low_x, low_x + CELLS * width)
+        y = rng.uniform(low_y, low_y + CELLS * height)
+        column, row = math.floor((x - low_x) / width), math.floor((y - low_y) / height)
+        kind = kinds[column * (CELLS + 1) + row]
+        seen.add(kind)
+        if kind != NEAR_EDGE:
+            assert (kind == INSIDE) == exact_inside(x, y, vertices)
+    assert NEAR_EDGE in seen
+
+
 # -- cuts ----------------------------------------------------------------------------
 
 

@@ -272,6 +272,11 @@ def _oracles() -> dict[str, str]:
             f"FROM ({all_counts(specs)})"
         ),
         "catalogue_stats1d": f"WITH {view(True)} " + rounded(flat_stats, "mean", "stdev"),
+        "catalogue_minmax": (
+            f"WITH {view(True)} SELECT hist, CAST(1 AS BIGINT) AS min_count, "
+            "max(count) AS max_count, min(count) AS true_min "
+            f"FROM ({all_counts([s for s in specs if s.kind == '2d'])}) GROUP BY hist"
+        ),
         "cut_tag": f"SELECT l_orderkey, l_linenumber, {tag_list} FROM lineitem",
         "cut_apply": cut_rows(inside(w.TRIANGLE)),
         "cut_apply_or": cut_rows(f"{inside(w.SQUARE)} OR {inside(w.STAR)}"),

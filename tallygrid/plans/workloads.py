@@ -222,6 +222,12 @@ def catalogue_stats1d(spark, sf_dir):
     return _rounded(tg.stats1d(tg.fill_catalogue(events, specs, BASES), specs))
 
 
+def catalogue_minmax(spark, sf_dir):
+    specs = [s for s in tg.detector_specs() if s.kind == "2d"]
+    events = tg.with_derived_columns(detector_view(spark, sf_dir))
+    return tg.count_range(tg.fill_catalogue(events, specs, BASES), specs)
+
+
 def legend1d(spark, sf_dir):
     return tg.legend1d(
         tg.stats1d(_event_counts(spark, sf_dir), [EVENT_VALUE], WINDOW_1D)
@@ -383,6 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stats2d": stats2d,
     "catalogue_all": catalogue_all,
     "catalogue_stats1d": catalogue_stats1d,
+    "catalogue_minmax": catalogue_minmax,
     "cut_tag": cut_tag,
     "cut_apply": cut_apply,
     "cut_apply_or": cut_apply_or,

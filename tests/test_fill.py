@@ -188,3 +188,14 @@ def test_margin_of_2d_is_1d_of_filtered_rows(spark):
     flat = hist1d(kept, Hist1D("h", AXIS))
     want = {r["x_bin"]: r["count"] for r in flat.collect()}
     assert {r[0]: r[1] for r in margin.collect()} == want
+
+
+def test_a_bin_with_a_third_of_all_rows(spark):
+    df = spark.range(30_000, numPartitions=7).selectExpr(
+        "if(id % 3 = 0, 5D, cast(id % 600 AS double) - 300D) AS v", "1D AS w"
+    )
+    specs = [Hist1D("h", AXIS), Hist2D("k", AXIS, Axis("w", 2, 0.0, 2.0))]
+    counts = fill_catalogue(df, specs)
+    hot = {r["hist"]: r["count"] for r in counts.where("x_bin = 305").collect()}
+    assert hot == {"h": 10_000 + 50, "k": 10_000 + 50}
+    assert counts.groupBy("hist").sum("count").where("`sum(count)` = 30000").count() == 2

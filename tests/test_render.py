@@ -61,6 +61,20 @@ def test_bars_have_offset_label_and_color(counts):
     assert tuple(rows[2][c] for c in ("red", "green", "blue")) == low
 
 
+def test_each_heat_map_has_its_own_scale(spark):
+    specs = [SQUARE, Hist2D("turned", SQUARE.y, SQUARE.x), Hist2D("gone", GONE.x, SQUARE.y)]
+    rows = [(0.1, -1.5)] * 9 + [(0.5, 0.5)] * 3 + [(0.9, 0.1)]
+    df = spark.createDataFrame(rows, "v double, w double").where("v < 0.8 or w > 0")
+    counts = fill_catalogue(df, specs)
+    single = counts.where("hist <> 'turned' or count > 1").where("hist <> 'square' or count < 9")
+    found = {(r["hist"], r["count"]): r for r in heatmap_bars(single, specs).collect()}
+    top = tuple(int(np.float32(c) * np.float32(255)) for c in VIRIDIS_KEYS[-1])
+    colors = {key: tuple(r[c] for c in ("red", "green", "blue")) for key, r in found.items()}
+    assert set(colors) == {("turned", 9), ("turned", 3), ("square", 3), ("square", 1)}
+    assert colors["turned", 9] == colors["square", 3] == top
+    assert colors["turned", 3] != top
+
+
 @pytest.mark.parametrize("high", [1, 2, 97, 1000, 4_000_000_000])
 def test_colors_match_single_precision(spark, high):
     df = spark.range(1, 400).select(

@@ -94,13 +94,17 @@ def detector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder for written results, in the shared folder the cluster names.
 
-    Only a session without ``spark.checkpoint.dir``, as in local tests, gets a folder
-    of the local machine.
+    A session on the local machine without ``spark.checkpoint.dir`` gets a folder of that
+    machine. On a cluster its executors could not see each other's files, so there the
+    setting is required.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="tallygrid-")
-    return os.path.join(shared, f"tallygrid-{uuid.uuid4().hex}")
+    if shared:
+        return f"{shared.rstrip('/')}/tallygrid-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master!r} share")
+    return tempfile.mkdtemp(prefix="tallygrid-")
 
 
 # -- fills ---------------------------------------------------------------------------

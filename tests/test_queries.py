@@ -10,6 +10,7 @@ sys.path.insert(0, ".")
 import __spark_entry__ as entry
 from check import normal
 from tallygrid.plans.oracles import TABLES
+from tallygrid.plans.workloads import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -21,14 +22,14 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
     assert not entry.entry(spark).isEmpty()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     got = entry.queries()[name](spark, sf_dir).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import pii
+from tallygrid.llm import bpe, pii
 from tallygrid.llm.common import table
 
 
@@ -12,7 +13,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 LLM_QUERIES = {
     "op3_pii": op3_pii,
+    "op8_bpe": op8_bpe,
 }
 LLM_ORACLES: dict[str, str] = {}

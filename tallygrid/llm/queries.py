@@ -4,21 +4,39 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe, pii
-from tallygrid.llm.common import table
+from tallygrid.llm import bpe, langid, pii, quality
+from tallygrid.llm.common import fold, table
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_rows(docs, labels, held_out=fold("doc_id", 5, 0))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 3, 1)
+    model = langid.fit_languages(docs, training=~held_out)
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.ambiguous"
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 LLM_QUERIES = {
+    "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op4_langid": op4_langid,
     "op8_bpe": op8_bpe,
 }
 LLM_ORACLES: dict[str, str] = {}

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe, langid, pii, quality
+from tallygrid.llm import bpe, langid, pii, quality, toxicity
 from tallygrid.llm.common import fold, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity_rows(docs, labels, held_out=fold("doc_id", 4, 2))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.quality_rows(docs, labels, held_out=fold("doc_id", 5, 0))
@@ -34,6 +39,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_langid": op4_langid,

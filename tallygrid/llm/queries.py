@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe, langid, pii, quality, toxicity
+from tallygrid.llm import bpe, langid, linededup, pii, quality, toxicity
 from tallygrid.llm.common import fold, table
 
 
@@ -38,11 +38,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_langid": op4_langid,
     "op8_bpe": op8_bpe,
+    "op9_linededup": op9_linededup,
 }
 LLM_ORACLES: dict[str, str] = {}

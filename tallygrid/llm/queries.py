@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe, langid, linededup, pii, quality, toxicity
+from tallygrid.llm import bpe, langid, linededup, pii, quality, syncmers, toxicity
 from tallygrid.llm.common import fold, table
 
 
@@ -42,6 +42,10 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_rows(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -49,5 +53,6 @@ LLM_QUERIES = {
     "op4_langid": op4_langid,
     "op8_bpe": op8_bpe,
     "op9_linededup": op9_linededup,
+    "op10_syncmers": op10_syncmers,
 }
 LLM_ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe, langid, linededup, pii, quality, syncmers, toxicity
+from tallygrid.llm import ann, bpe, langid, linededup, packing, pii, quality, syncmers, toxicity
 from tallygrid.llm.common import fold, table
 
 
@@ -34,6 +34,14 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +59,8 @@ LLM_QUERIES = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_langid": op4_langid,
+    "op6_packing": op6_packing,
+    "op7_ann": op7_ann,
     "op8_bpe": op8_bpe,
     "op9_linededup": op9_linededup,
     "op10_syncmers": op10_syncmers,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import ann, bpe, langid, linededup, packing, pii, quality, syncmers, toxicity
+from tallygrid.llm import ann, bpe, jaccard, langid, linededup, packing, pii, quality, syncmers, toxicity
 from tallygrid.llm.common import fold, table
 
 
@@ -34,6 +34,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ LLM_QUERIES = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_langid": op4_langid,
+    "op5_jaccard": op5_jaccard,
     "op6_packing": op6_packing,
     "op7_ann": op7_ann,
     "op8_bpe": op8_bpe,

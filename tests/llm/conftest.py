@@ -1,0 +1,60 @@
+import pytest
+
+from pyspark.sql import types as T
+
+DOCUMENTS = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.LongType()),
+    ]
+)
+# Names that operators use inside or add.
+CLASHING = ("pii", "ids", "decoded", "anchors", "statistics", "language", "score", "row", "digest", "gone", "doc", "at", "piece")
+PROSE = "The quick brown fox went over the old stone bridge and looked for water near the mill"
+LONG = " ".join(f"word{i % 997} tail{i % 31}" for i in range(30_000))
+TEXTS = [
+    (1, PROSE),
+    (2, PROSE),
+    (3, PROSE + " again"),
+    (4, None),
+    (5, ""),
+    (6, "\n\n \n"),
+    (7, "..."),
+    (8, LONG),
+    (9, LONG + " end"),
+    (10, "x" * 20_000),
+    (11, "Über den großen Straßen\nliegt der alte Schnee und wartet\nauf den Sommer"),
+    (12, "call +1 (212) 555-0100 or mail a.b@c.example.com\nÜber den großen Straßen"),
+    (12, "call +1 (212) 555-0100 or mail a.b@c.example.com\nÜber den großen Straßen"),
+    (None, "a row without an id has a text of several words"),
+]
+
+
+@pytest.fixture(scope="session")
+def edge_rows():
+    return [(i, t, "en", "s", None if t is None else len(t)) for i, t in TEXTS]
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark, edge_rows):
+    return spark.createDataFrame(edge_rows, DOCUMENTS)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(edge_docs):
+    from pyspark.sql import functions as F
+
+    return edge_docs.select("*", *(F.lit(f"own {name}").alias(name) for name in CLASHING))
+
+
+@pytest.fixture(scope="session")
+def real_docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")

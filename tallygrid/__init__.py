@@ -36,7 +36,13 @@ from tallygrid.plans.detector import (
     with_derived_columns,
 )
 from tallygrid.sources.cut_files import cut_table, load_cuts, save_cut
-from tallygrid.sources.events import file_catalogue, scan_events, select_files, toggle_file
+from tallygrid.sources.events import (
+    file_catalogue,
+    scan_events,
+    scan_selected,
+    select_files,
+    toggle_file,
+)
 from tallygrid.sources.reduced import save_cuts, save_separate, save_single
 from tallygrid.specs import SENTINEL, Axis, Cut, Hist1D, Hist2D, Selection
 
@@ -79,6 +85,7 @@ __all__ = [
     "save_separate",
     "save_single",
     "scan_events",
+    "scan_selected",
     "select_files",
     "spec_table",
     "stats1d",

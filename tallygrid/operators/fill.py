@@ -113,7 +113,7 @@ def fill_catalogue(
 
     layout = _KeyLayout.of(present)
     ids = {spec.name: position for position, spec in enumerate(present)}
-    ordered = sorted(present, key=lambda s: (s.x.column, s.base, s.axes[-1].column))
+    ordered = sorted(present, key=lambda s: (s.base, s.axes[-1].column, s.x.column))
     passes = [
         _keys(df, ordered[i : i + entries_per_pass], ids, layout, bases, sentinel)
         for i in range(0, len(ordered), entries_per_pass)

@@ -217,7 +217,12 @@ def overlay_sql() -> str:
       ON p.hist = c.hist"""
 
 
+def kept_as(cut: str) -> str:
+    return f", '{cut}' AS cut"
+
+
 def _oracles() -> dict[str, str]:
+    kind = "CASE WHEN l_quantity > 40 THEN 'high' WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END"
     specs = detector_specs()
     picked = [s for s in specs if s.name in w.OVERLAY_PICKS]
     one_d = [s for s in specs if s.kind == "1d"]
@@ -321,6 +326,21 @@ def _oracles() -> dict[str, str]:
             "SELECT 'lineitem.parquet' AS source_file, 'lineitem_star' AS out_name, "
             f"count(*) AS rows FROM lineitem WHERE {inside(w.STAR)}"
         ),
+        "scan_many": (
+            f"SELECT {kind} AS name, count(*) AS n_rows, sum(l_quantity) AS sum_qty FROM lineitem GROUP BY 1"
+        ),
+        "save_many": (
+            f"{cut_rows(inside(w.SQUARE), kept_as("square"))} UNION ALL "
+            f"{cut_rows(inside(w.TRIANGLE), kept_as("triangle"))}"
+        ),
+        "manifest_many": (
+            "SELECT rows, count(*) AS files FROM (SELECT kind, sum(hit)::BIGINT AS rows FROM "
+            f"(SELECT {kind} AS kind, CASE WHEN {inside(w.TRIANGLE)} THEN 1 ELSE 0 END AS hit FROM lineitem) "
+            "GROUP BY kind) GROUP BY rows"
+        ),
+        "catalogue_below": (
+            f"SELECT count(*) AS n_rows, 0::BIGINT AS listed_above FROM lineitem WHERE {kind} = 'odd'"
+        ),
     }
 
 

@@ -7,7 +7,6 @@ per line item, with the sentinel where a key is divisible by a small number.
 from __future__ import annotations
 
 import math
-import os.path
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -259,9 +258,10 @@ def heatmap_colors(spark, sf_dir):
 
 
 def hist_names(spark, sf_dir):
-    counts = catalogue_all(spark, sf_dir)
-    totals = tg.hist_totals(counts, tg.detector_specs())
-    return totals.select("hist", "entries", "filled_bins").orderBy("hist")
+    """The names, each with what was counted under it."""
+    specs = tg.detector_specs()
+    totals = tg.hist_totals(catalogue_all(spark, sf_dir), specs)
+    return tg.hist_names(spark, specs).join(totals, "hist").select("hist", "entries", "filled_bins")
 
 
 def hist_kind(spark, sf_dir):
@@ -345,20 +345,20 @@ def file_catalogue(spark, sf_dir):
 
 def file_select(spark, sf_dir):
     chosen = tg.select_files(tg.file_catalogue(spark, sf_dir), include=["lineitem"])
-    events = tg.scan_events(spark, [row["path"] for row in chosen.collect()], "source_file")
+    events = tg.scan_selected(chosen, "source_file")
     return events.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty")
     )
 
 
 def save_single(spark, sf_dir):
-    target = os.path.join(scratch_dir(spark), "single")
+    target = f"{scratch_dir(spark)}/single"
     tg.save_single(spark, f"{sf_dir}/lineitem.parquet", [TRIANGLE, SQUARE], target)
     return _cut_rows(spark.read.parquet(target))
 
 
 def save_separate(spark, sf_dir):
-    target = os.path.join(scratch_dir(spark), "separate")
+    target = f"{scratch_dir(spark)}/separate"
     tg.save_separate(spark, f"{sf_dir}/lineitem.parquet", [TRIANGLE, SQUARE], target)
     saved = spark.read.parquet(target)
     return saved.select(
@@ -367,11 +367,66 @@ def save_separate(spark, sf_dir):
 
 
 def save_manifest(spark, sf_dir):
-    target = os.path.join(scratch_dir(spark), "separate")
+    target = f"{scratch_dir(spark)}/separate"
     paths = f"{sf_dir}/lineitem.parquet"
     return tg.save_separate(spark, paths, [STAR], target, suffix="star", compact=True)
 
 
+def _many_files(spark, sf_dir):
+    """All line items as three files: two by the parity of the order, and one of those with no quantity
+    in a cut's reach; returns the folder. Together they are the whole table."""
+    folder = scratch_dir(spark)
+    items = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_quantity") > 40, "high").when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd")
+    for name in ("even", "odd", "high"):
+        items.where(kind == name).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def scan_many(spark, sf_dir):
+    """A scan over files of the same schema, each row with the folder it came from."""
+    folder = _many_files(spark, sf_dir)
+    events = tg.scan_events(spark, f"{folder}/*.parquet").withColumn("path", F.col("_metadata.file_path"))
+    name = F.regexp_extract("path", r"([a-z]+)\.parquet/", 1)
+    return events.groupBy(name.alias("name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty")
+    )
+
+
+def _save_twice(spark, sf_dir):
+    """The files as single files, saved with two suffixes into one folder; (folder, second manifest)."""
+    folder = _many_files(spark, sf_dir)
+    parts = [tg.scan_events(spark, f"{folder}/{n}.parquet").coalesce(1) for n in ("even", "odd", "high")]
+    for name, part in zip(("even", "odd", "high"), parts):
+        part.write.parquet(f"{folder}/one/{name}")
+    files = tg.scan_events(spark, [f"{folder}/one/{n}" for n in ("even", "odd", "high")]).inputFiles()
+    target = f"{folder}/saved"
+    tg.save_cuts(spark, files, [SQUARE], target, mode="separate", suffix="square")
+    return target, tg.save_cuts(spark, files, [TRIANGLE], target, mode="separate", suffix="triangle")
+
+
+def save_many(spark, sf_dir):
+    target, _ = _save_twice(spark, sf_dir)
+    saved = spark.read.parquet(target)
+    cut = F.regexp_extract("out_name", r"_([a-z]+)$", 1).alias("cut")
+    return saved.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", cut)
+
+
+def manifest_many(spark, sf_dir):
+    """Rows by input of the second save, the one of high quantities with none."""
+    _, manifest = _save_twice(spark, sf_dir)
+    return manifest.groupBy("rows").count().withColumnRenamed("count", "files")
+
+
+def catalogue_below(spark, sf_dir):
+    """The catalogue of a folder that holds a saved output: its name=value folders do not count."""
+    folder = _many_files(spark, sf_dir)
+    tg.scan_events(spark, f"{folder}/odd.parquet").write.partitionBy("l_returnflag").parquet(f"{folder}/all")
+    top = tg.file_catalogue(spark, f"{folder}/all").count()
+    below = tg.scan_selected(tg.file_catalogue(spark, [f"{folder}/all/l_returnflag={f}" for f in "ANR"]))
+    return below.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(top).cast("long").alias("listed_above"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist1d_quantity": hist1d_quantity,
     "hist1d_event_value": hist1d_event_value,
@@ -414,4 +469,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "save_single": save_single,
     "save_separate": save_separate,
     "save_manifest": save_manifest,
+    "scan_many": scan_many,
+    "save_many": save_many,
+    "manifest_many": manifest_many,
+    "catalogue_below": catalogue_below,
 }

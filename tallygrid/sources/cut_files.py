@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os.path
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrid.sources.paths import Folder
 from tallygrid.specs import Cut, unique_cuts
 
 CUT_SCHEMA = T.StructType(
@@ -31,15 +33,22 @@ def cut_table(spark: SparkSession, cuts: Iterable[Cut]) -> DataFrame:
     return spark.createDataFrame(rows, _TABLE_SCHEMA)
 
 
-def save_cut(spark: SparkSession, cut: Cut, directory: str, name: str | None = None) -> str:
+def save_cut(
+    spark: SparkSession, cut: Cut, directory: str, name: str | None = None, replace: bool = False
+) -> str:
     """Write one cut as JSON under ``directory`` and return where it went.
 
     The default name is made of the two columns. Like every Spark output it is a folder
     with one file in it, which ``load_cuts`` and any JSON reader of that file understand.
+    What lies there already is replaced only if asked for, and only if it is a cut.
     """
     if not cut.usable:
         raise ValueError(f"cut {cut.cut_id!r} needs both columns before it can be saved")
-    target = os.path.join(directory, name or cut.default_file_name)
+    target = f"{directory.rstrip('/')}/{name or cut.default_file_name}"
+    if Folder(spark, target).exists():
+        if not replace:
+            raise ValueError(f"{target} exists already; replace=True replaces it")
+        load_cuts(spark, [target])
     one = cut_table(spark, [cut]).drop("cut_id").coalesce(1)
     one.write.mode("overwrite").option("ignoreNullFields", "false").json(target)
     return target
@@ -50,13 +59,18 @@ def load_cuts(spark: SparkSession, paths: Sequence[str]) -> list[Cut]:
 
     A cut is part of the query, not data: a few kilobytes that end up in the plan.
     """
+    if not paths:
+        return []
+    read = spark.read.schema(CUT_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST")
+    named = [Folder(spark, path).name for path in paths]
+    rows = read.json(list(dict.fromkeys(paths))).select(*CUT_SCHEMA.names, F.col("_metadata.file_path").alias("file"))
+    found = [(unquote(row["file"]).replace(":///", ":/", 1), row) for row in rows.limit(2 * len(paths) + 1).collect()]
     cuts = []
-    for number, path in enumerate(paths, start=1):
-        read = spark.read.schema(CUT_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST")
-        rows = read.json(path).select(*CUT_SCHEMA.names).take(2)
-        if len(rows) != 1:
+    for number, (path, name) in enumerate(zip(paths, named), start=1):
+        own = [row for file, row in found if file == name or file.startswith(f"{name}/")]
+        if len(own) != 1:
             raise ValueError(f"{path} must hold exactly one cut")
-        cuts.append(_cut_of(f"cut_{number}", path, rows[0]))
+        cuts.append(_cut_of(f"cut_{number}", path, own[0]))
     return cuts
 
 

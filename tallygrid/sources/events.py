@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.sources.paths import Folder
+
 
 def display_name(file_name: Column) -> Column:
     """File name without a trailing ``.parquet``."""
@@ -34,13 +36,15 @@ def file_catalogue(spark: SparkSession, directory: str | Sequence[str]) -> DataF
     the extension must be exactly ``parquet``.
     """
     where = [directory] if isinstance(directory, str) else list(directory)
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "false")
-        .load(where)
-    )
-    return listed.select(
+    globs = [f"{one.rstrip('/')}/*.parquet" for one in where]
+    filled = [glob for glob in globs if Folder(spark, glob).matches()]
+    if not filled:
+        return spark.createDataFrame([], "path string, name string, length long, modified timestamp")
+    listed = spark.read.format("binaryFile").load(filled)
+    # A folder that is called *.parquet is a table, its part files lie deeper.
+    folders = [name for one in where for name in Folder(spark, one).matches()]
+    parent = F.regexp_replace("path", r"/[^/]*$", "")
+    return listed.where(parent.isin(folders)).select(
         "path",
         display_name(_last_part(F.col("path"))).alias("name"),
         "length",
@@ -91,3 +95,12 @@ def scan_events(
     if source_column in events.columns:
         raise ValueError(f"the event table already has a column {source_column!r}")
     return events.select("*", source_file().alias(source_column))
+
+
+def scan_selected(selection: DataFrame, source_column: str | None = None) -> DataFrame:
+    """The files of a selection (a catalogue or part of one) as one table.
+
+    Only the paths come to the driver, which hands them to the reader anyway.
+    """
+    paths = [row["path"] for row in selection.select("path").collect()]
+    return scan_events(selection.sparkSession, paths, source_column)

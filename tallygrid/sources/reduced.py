@@ -1,7 +1,13 @@
-"""Writing the events that pass the cuts back to Parquet."""
+"""Writing the events that pass the cuts back to Parquet.
+
+Nothing that a save did not write itself is ever touched: an output that is, holds or lies in
+an input fails before anything is written, an existing output fails unless ``replace`` is
+set, and even then the old result stays until the new one is complete.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +16,12 @@ from pyspark.sql import types as T
 
 from tallygrid.operators.cuts import apply_cuts
 from tallygrid.sources.events import file_stem, scan_events, source_file
+from tallygrid.sources.paths import Folder, read_files, refuse_overlap
 from tallygrid.specs import Cut
 
 OUTPUT_COLUMN = "out_name"
 DEFAULT_SUFFIX = "filtered"
+_SHOWN = 20
 
 
 def save_single(
@@ -22,17 +30,32 @@ def save_single(
     cuts: Iterable[Cut],
     output: str,
     compact: bool = False,
+    replace: bool = False,
     **cut_options,
 ) -> None:
-    """All passing rows of all files as one Parquet table at ``output``, replacing it.
+    """All passing rows of all files as one Parquet table at ``output``.
 
     Every task writes its own rows. ``compact`` evens out file sizes first, by a
-    rebalancing shuffle whose partitions are sized at run time.
+    rebalancing shuffle whose partitions are sized at run time. ``replace`` writes beside
+    an existing output and takes its place once all is written.
     """
-    rows = apply_cuts(scan_events(spark, paths), cuts, **cut_options)
+    events = scan_events(spark, paths)
+    target = Folder(spark, output)
+    refuse_overlap(spark, [target.name], _as_list(paths), read_files(events))
+    if target.exists() and not replace:
+        raise ValueError(f"{output} exists already; replace=True replaces it")
+    rows = apply_cuts(events, cuts, **cut_options)
     if compact:
         rows = rows.hint("rebalance")
-    rows.write.mode("overwrite").parquet(output)
+    fresh = Folder(spark, f"{target.name}.new-{uuid.uuid4().hex}")
+    try:
+        rows.write.parquet(fresh.name)
+    except Exception:
+        fresh.remove()
+        raise
+    if target.exists():
+        target.remove()
+    fresh.move_to(target.name)
 
 
 def save_separate(
@@ -42,6 +65,7 @@ def save_separate(
     output: str,
     suffix: str = DEFAULT_SUFFIX,
     compact: bool = False,
+    replace: bool = False,
     **cut_options,
 ) -> DataFrame:
     """One output per input file, under ``output/out_name={stem}_{suffix}``; returns the manifest.
@@ -50,21 +74,47 @@ def save_separate(
     partition of the written table and no column of its files. Two inputs that would
     share an output fail before anything is written. ``compact`` merges small pieces
     and splits an output that holds most of the rows over several tasks.
+
+    Only the outputs of this run are written, so other files in ``output``, other suffixes and
+    the inputs themselves may lie there. ``replace`` puts new outputs in the place of old
+    ones of the same name, and takes away that of an input none of whose rows pass now.
     """
     events = scan_events(spark, paths)
     if OUTPUT_COLUMN in events.columns:
         raise ValueError(f"the event table already has a column {OUTPUT_COLUMN!r}")
-    named = _input_files(spark, paths, suffix)
-    clashes = named.groupBy(OUTPUT_COLUMN).count().where(F.col("count") > 1).limit(20).collect()
-    if clashes:
-        raise ValueError(f"several inputs share an output: {[c[OUTPUT_COLUMN] for c in clashes]}")
+    files = read_files(events)
+    named = _input_files(spark, files, suffix)
+    clashes = named.groupBy(OUTPUT_COLUMN).count().where(F.col("count") > 1)
+    shown = clashes.orderBy(OUTPUT_COLUMN).limit(_SHOWN).collect()
+    if shown:
+        names = [c[OUTPUT_COLUMN] for c in shown]
+        raise ValueError(f"inputs share {clashes.count()} outputs, among them {names}")
+    base = Folder(spark, output).name
+    owned = {r[OUTPUT_COLUMN]: Folder(spark, f"{base}/{_partition(r[OUTPUT_COLUMN])}") for r in named.collect()}
+    refuse_overlap(spark, [folder.name for folder in owned.values()], _as_list(paths), files)
+    present = [name for name, folder in owned.items() if folder.exists()]
+    if present and not replace:
+        shown = sorted(present)[:_SHOWN]
+        raise ValueError(f"{len(present)} outputs exist already, among them {shown}; replace=True replaces them")
 
     tagged = events.select("*", _output_name(source_file(), suffix).alias(OUTPUT_COLUMN))
     rows = apply_cuts(tagged, cuts, **cut_options)
     if compact:
         rows = rows.hint("rebalance", OUTPUT_COLUMN)
-    rows.write.mode("overwrite").partitionBy(OUTPUT_COLUMN).parquet(output)
-    return _manifest(spark, named, events, output)
+    # Written beside and moved in: a failed job changes no output.
+    staging = Folder(spark, f"{base}/_new-{uuid.uuid4().hex}")
+    try:
+        rows.write.partitionBy(OUTPUT_COLUMN).parquet(staging.name)
+        schema = T.StructType([*events.schema.fields, T.StructField(OUTPUT_COLUMN, T.StringType())])
+        kept = spark.read.schema(schema).parquet(staging.name).groupBy(OUTPUT_COLUMN).count().collect()
+        counts = {row[OUTPUT_COLUMN]: row["count"] for row in kept}
+        for name in present:
+            owned[name].remove()
+        for name in counts:
+            Folder(spark, f"{staging.name}/{_partition(name)}").move_to(owned[name].name)
+    finally:
+        staging.remove()
+    return _manifest(spark, named, counts)
 
 
 def save_cuts(
@@ -85,27 +135,34 @@ def save_cuts(
     raise ValueError(f"mode must be 'separate' or 'single', not {mode!r}")
 
 
+def _as_list(paths: str | Sequence[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+
+
+def _partition(name: str) -> str:
+    """The folder that Spark gives a partition: characters that paths can't hold are escaped."""
+    escaped = "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 else c for c in name)
+    return f"{OUTPUT_COLUMN}={escaped}"
+
+
+# The characters that Spark escapes in the names of partition folders.
+_ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^")
+
+
 def _output_name(file_name: Column, suffix: str) -> Column:
     return F.concat(file_stem(file_name), F.lit(f"_{suffix}"))
 
 
-def _input_files(spark: SparkSession, paths: str | Sequence[str], suffix: str) -> DataFrame:
-    """``(source_file, out_name)`` of every input, from the listing alone."""
-    where = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
-    listed = spark.read.format("binaryFile").load(where)
-    name = F.element_at(F.split("path", "/"), -1)
-    return listed.select(
-        name.alias("source_file"), _output_name(name, suffix).alias(OUTPUT_COLUMN)
-    )
+def _input_files(spark: SparkSession, files: Sequence[str], suffix: str) -> DataFrame:
+    """``(source_file, out_name)`` of every file that the scan reads."""
+    names = [(name.rsplit("/", 1)[-1],) for name in files]
+    listed = spark.createDataFrame(names, "source_file string")
+    return listed.select("source_file", _output_name(F.col("source_file"), suffix).alias(OUTPUT_COLUMN))
 
 
-def _manifest(
-    spark: SparkSession, named: DataFrame, events: DataFrame, output: str
-) -> DataFrame:
-    """``(source_file, out_name, rows)`` with 0 for an input none of whose rows passed."""
-    schema = T.StructType([*events.schema.fields, T.StructField(OUTPUT_COLUMN, T.StringType())])
-    written = spark.read.schema(schema).parquet(output).groupBy(OUTPUT_COLUMN)
-    kept = written.agg(F.count(F.lit(1)).alias("rows"))
-    return named.join(kept, OUTPUT_COLUMN, "left").select(
-        "source_file", OUTPUT_COLUMN, F.coalesce("rows", F.lit(0)).alias("rows")
+def _manifest(spark: SparkSession, named: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """``(source_file, out_name, rows)`` of this run, with 0 for an input none of whose rows passed."""
+    written = spark.createDataFrame(list(counts.items()), f"{OUTPUT_COLUMN} string, kept long")
+    return named.join(written, OUTPUT_COLUMN, "left").select(
+        "source_file", OUTPUT_COLUMN, F.coalesce("kept", F.lit(0)).alias("rows")
     )

@@ -14,6 +14,7 @@ from tallygrid import (
     save_separate,
     save_single,
     scan_events,
+    scan_selected,
     select_files,
     toggle_file,
 )
@@ -164,3 +165,123 @@ def test_cut_files_of_other_origin(spark, tmp_path):
 def test_scratch_is_in_the_shared_folder(spark):
     assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_dir(spark) != scratch_dir(spark)
+
+
+@pytest.fixture
+def own_folder(spark, folder, tmp_path):
+    """A folder of its own with two inputs and a foreign file."""
+    target = tmp_path / "runs"
+    target.mkdir()
+    for name in ("run.2", "run_3"):
+        shutil.copy(f"{folder}/{name}.parquet", target / f"{name}.parquet")
+    (target / "notes.txt").write_text("mine")
+    return target
+
+
+def content(folder):
+    return {p.name: p.read_bytes() for p in folder.iterdir() if p.is_file() and p.suffix in (".txt", ".parquet")}
+
+
+def test_a_save_never_replaces_what_it_reads(spark, own_folder):
+    before = content(own_folder)
+    files = [str(own_folder / f"{n}.parquet") for n in ("run.2", "run_3")]
+    for paths in (files, f"{own_folder}/*.parquet"):
+        for output in (str(own_folder), files[0], f"{files[0]}/below"):
+            with pytest.raises(ValueError, match="overlap"):
+                save_single(spark, paths, [BOX], output, replace=True)
+    (own_folder / "notes.txt").rename(own_folder.parent / "notes.txt")
+    for save in (save_single, save_separate):
+        with pytest.raises(ValueError, match="overlap"):
+            save(spark, str(own_folder), [BOX], f"{own_folder}/out", replace=True)
+    (own_folder.parent / "notes.txt").rename(own_folder / "notes.txt")
+    assert content(own_folder) == before
+
+
+def test_saves_beside_the_inputs_and_with_two_suffixes(spark, own_folder):
+    before = content(own_folder)
+    files = [str(own_folder / f"{n}.parquet") for n in ("run.2", "run_3")]
+    save_separate(spark, files, [BOX], str(own_folder), suffix="one")
+    second = save_separate(spark, files[:1], [BOX], str(own_folder), suffix="two")
+    assert [tuple(r) for r in second.collect()] == [("run.2.parquet", "run.2_two", 2)]
+    assert content(own_folder) == before
+    assert {p.name for p in own_folder.glob("out_name=*")} == {"out_name=run.2_one", "out_name=run.2_two"}
+    assert not list(own_folder.glob("_new-*"))
+
+
+def test_an_existing_output_stays_unless_replaced(spark, own_folder, tmp_path):
+    files = [str(own_folder / f"{n}.parquet") for n in ("run.2", "run_3")]
+    far = Cut("far", ((60.0, 60.0), (90.0, 60.0), (90.0, 90.0), (60.0, 90.0)), "a", "b")
+    out = str(tmp_path / "out")
+    save_separate(spark, files, [BOX], out)
+    with pytest.raises(ValueError, match="run.2_filtered"):
+        save_separate(spark, files, [far], out)
+    manifest = save_separate(spark, files, [far], out, replace=True)
+    assert {tuple(r)[1:] for r in manifest.collect()} == {("run.2_filtered", 0), ("run_3_filtered", 2)}
+    assert [p.name for p in (tmp_path / "out").glob("out_name=*")] == ["out_name=run_3_filtered"]
+    single = str(tmp_path / "single")
+    save_single(spark, files, [BOX], single)
+    with pytest.raises(ValueError, match="exists"):
+        save_single(spark, files, [far], single)
+    assert spark.read.parquet(single).count() == 2
+    save_single(spark, files, [far], single, replace=True)
+    assert spark.read.parquet(single).count() == 2 and sorted(tags(spark.read.parquet(single)))[0].startswith("run_3")
+
+
+def test_a_failed_job_changes_no_output(spark, own_folder, tmp_path):
+    good = str(own_folder / "run.2.parquet")
+    for save, out in ((save_single, tmp_path / "s"), (save_separate, tmp_path / "m")):
+        save(spark, good, [BOX], str(out))
+        before = sorted(p.name for p in out.rglob("*"))
+        broken = own_folder / "broken"
+        shutil.copytree(own_folder, broken, ignore=lambda d, names: [n for n in names if n != "run.2.parquet"], dirs_exist_ok=True)
+        data = bytearray((broken / "run.2.parquet").read_bytes())
+        data[4:40] = b"\xff" * 36
+        (broken / "run.2.parquet").write_bytes(bytes(data))
+        with pytest.raises(Exception):
+            save(spark, str(broken / "run.2.parquet"), [BOX], str(out), replace=True)
+        assert sorted(p.name for p in out.rglob("*")) == before
+        assert not list(tmp_path.glob("*.new-*")) and not list(out.glob("_new-*"))
+
+
+def test_catalogue_leaves_out_value_folders(spark, own_folder):
+    files = [str(own_folder / f"{n}.parquet") for n in ("run.2", "run_3")]
+    save_separate(spark, files, [BOX], str(own_folder))
+    assert sorted(r["name"] for r in file_catalogue(spark, str(own_folder)).collect()) == ["run.2", "run_3"]
+    assert scan_selected(file_catalogue(spark, str(own_folder))).count() == 4
+
+
+def test_a_cut_replaces_nothing_but_a_cut(spark, tmp_path):
+    save_cut(spark, BOX, str(tmp_path), "c.json")
+    with pytest.raises(ValueError, match="exists"):
+        save_cut(spark, BOX, str(tmp_path), "c.json")
+    save_cut(spark, BOX, str(tmp_path), "c.json", replace=True)
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "rows.json").write_text("{}\n{}")
+    with pytest.raises(ValueError):
+        save_cut(spark, BOX, str(tmp_path), "data", replace=True)
+    assert (tmp_path / "data" / "rows.json").exists()
+
+
+def test_cuts_come_in_the_order_of_the_paths(spark, tmp_path):
+    other = Cut("o", ((0.0, 0.0), (1.0, 0.0), (0.0, 2.0)), "b", "a")
+    paths = [save_cut(spark, cut, str(tmp_path), f"n {i}.json") for i, cut in enumerate((BOX, other))]
+    back = load_cuts(spark, [paths[1], paths[0], paths[1]])
+    assert [c.vertices for c in back] == [other.vertices, BOX.vertices, other.vertices]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+
+    assert "tallygrid-" in scratch_dir(Session(spark_master="local[4]"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(Session(spark_master=master))

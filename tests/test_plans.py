@@ -102,3 +102,15 @@ def test_large_polygon_is_one_constant(events):
 def test_no_python_in_any_plan(spark, sf_dir, name):
     plan = explained(w.QUERIES[name](spark, sf_dir), "simple")
     assert not re.search(r"Python|Arrow|MapInPandas|CartesianProduct|NestedLoop", plan)
+
+
+def test_passes_of_the_catalogue_share_columns(spark, tmp_path):
+    """Each pass reads what its entries need; together not much more than every column once."""
+    from tallygrid.plans.workloads import detector_view
+
+    path = str(tmp_path / "events")
+    detector_view(spark, "/root/testdata/sf0.001").write.parquet(path)
+    plan = explained(tg.fill_detector_catalogue(spark.read.parquet(path)))
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert len(schemas) == 3
+    assert sum(schema.count(":") for schema in schemas) <= 31

@@ -16,10 +16,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import cache
 from itertools import chain
 
 import ahocorasick
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +27,31 @@ from pyspark.sql import types as T
 from tallygrid.llm.common import shipped, text_of
 
 END = "</w>"
-# The piece pattern of the vocabulary file, and the same for ASCII text alone.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+# Suffixes that are pieces of their own, and the white space of the vocabulary's pattern.
+SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@cache
+def piece_pattern() -> re.Pattern:
+    """A suffix, a run of letters, one number sign, or a run of other signs but white space.
+
+    Letters and numbers are those of Python's Unicode tables, as ranges.
+    """
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for code in range(0x110000):
+        found = ranges.get(unicodedata.category(chr(code))[0])
+        if found is not None:
+            if found and found[-1][1] == code - 1:
+                found[-1][1] = code
+            else:
+                found.append([code, code])
+    letters, numbers = (
+        "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[kind]) for kind in ("L", "N")
+    )
+    return re.compile(f"{'|'.join(SUFFIXES)}|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
+
+
 # Python splits at these, the pattern does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -57,7 +80,7 @@ def read_vocabulary(path: str) -> dict:
 class Encoder:
     """Tables of one vocabulary. Inside, a symbol is one character: its byte, plus 256 at a word's end."""
 
-    def __init__(self, vocabulary: dict, remembered: int = 400_000):
+    def __init__(self, vocabulary: dict, remembered: int = 250_000):
         ids = vocabulary["ids"]
         inner = {}
         for byte, symbol in enumerate(byte_symbols()):
@@ -85,6 +108,7 @@ class Encoder:
         for text, at in by_text.items():
             self.automaton.add_word(text, at)
         self.automaton.make_automaton()
+        self.pieces = piece_pattern()
         self.added = vocabulary["added"]
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         names = {**{i: n for n, i in ids.items()}, **{i: n for n, i in self.added.items()}}
@@ -151,7 +175,7 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch of normalised text."""
-        return tuple(chain.from_iterable(map(self.known.__getitem__, PIECES.findall(chunk))))
+        return tuple(chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(chunk))))
 
     def _section(self, text: str):
         """Ids of a text without added tokens. White space parts pieces, so words are looked up whole."""

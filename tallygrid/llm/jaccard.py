@@ -7,6 +7,11 @@ and size one group. Groups that share a prefix shingle are candidates; pairs of
 sizes or prefixes differ too much are dropped, the rest expanded to their classes and verified on
 the whole sets. Pairs that can't change the connected components are never formed (``links``).
 
+Two bounds keep near but too unlike texts from becoming pairs, and lose no link. What comes before
+the first shared shingle of two sets is not shared, so both stretches together are no longer than
+the difference allowed (``slack``). And a set has a sketch of ``SKETCH`` bits, each the parity of
+its shingles there: two sets differ in at least as many shingles as their sketches in bits.
+
 Shingles are compared by 62-bit hashes.
 """
 
@@ -28,9 +33,11 @@ WORDS, PERCENT = 5, 80
 MOST_FREQUENT, FREQUENT = 200_000, 32
 #: So many ids of 8 bytes may be broadcast to pick texts; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+SKETCH = 256
 #: Sorted stretches in which equal shingles are found next to each other.
 STRETCHES = 1 << 16
 LAST = 1 << 62
+PARTS = [f"s{i}" for i in range(SKETCH // 64)]
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,12 +91,30 @@ def least_common(sizes: Column) -> Column:
     return F.ceil(sizes * PERCENT / (100.0 + PERCENT) - 1e-9)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of shingles in ``SKETCH`` places, as 64-bit numbers."""
+    odd = np.bincount(shingles & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def slack(n: Column, before: Column) -> Column:
+    """What a set has left, if ``before`` of its shingles are not shared; of two linked sets the sum is not negative."""
+    return n * (100 - PERCENT) - before * (100 + PERCENT)
+
+
+def alike_sketches(left: Column, right: Column) -> Column:
+    """Whether two sets (n and the parts of the sketch) may still be linked."""
+    bits = sum(F.bit_count(left[part].bitwiseXOR(right[part])) for part in PARTS)
+    sizes = left["n"] + right["n"]
+    return bits <= sizes - 2 * least_common(sizes)
+
+
 def _signed(data: np.ndarray, seed: int) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(data.tobytes(), seed)).astype(np.int64))
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, number of shingles, hash of the whole set, hash of size and prefix, and the prefix."""
+    """doc_id, number of shingles, hash of the whole set, hash of size and prefix, the sketch and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,11 +125,12 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     shingles = shingle_set(text)
                     prefix = ordered(shingles, shared.value)[: prefix_length(len(shingles))]
                     group = _signed(np.append(prefix, len(shingles)), 2)
-                    rows.append((len(shingles), _signed(shingles, 1), group, prefix))
-                n, whole, group, prefix = zip(*rows)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": n, "whole": whole, "group": group, "prefix": prefix})
+                    rows.append((len(shingles), _signed(shingles, 1), group, *sketch(shingles), prefix))
+                names = ["n", "whole", "group", *PARTS, "prefix"]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, **dict(zip(names, zip(*rows)))})
 
-    schema = "doc_id long, n long, whole long, group long, prefix array<long>"
+    parts = "".join(f"{part} long, " for part in PARTS)
+    schema = f"doc_id long, n long, whole long, group long, {parts}prefix array<long>"
     return shipped(docs).mapInPandas(work, schema)
 
 
@@ -153,10 +179,10 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     frequent = _frequent(docs)
     found = _prefixes(docs, frequent)
-    rows = stored(found.select("doc_id", "n", "whole", "group", F.when(F.col("n") > 0, F.col("prefix")).alias("prefix")), "rows")
+    rows = stored(found.select("doc_id", "n", "whole", "group", *PARTS, F.when(F.col("n") > 0, F.col("prefix")).alias("prefix")), "rows")
     # One row for each different set. Which copy gives the prefix does not matter: they are equal.
     first = rows.where("n > 0").groupBy("whole").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("group").alias("group"), F.count(F.lit(1)).alias("weight")
+        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("group").alias("group"), *(F.max(part).alias(part) for part in PARTS)
     )
     classes = stored(first.withColumn("item", F.monotonically_increasing_id()), "classes")
     grouped = classes.groupBy("group").agg(F.count(F.lit(1)).alias("classes"), F.min("item").alias("item"))
@@ -165,21 +191,26 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     groups = stored(prefixes.select("group", "n", "classes", "prefix"), "groups")
 
     # Shingles of one group only can't give a candidate; equal ones lie side by side once sorted.
-    tokens = groups.select("group", F.explode("prefix").alias("bucket"))
+    tokens = groups.select("group", "n", F.posexplode("prefix").alias("at", "bucket"))
+    tokens = tokens.select("group", "bucket", slack(F.col("n"), F.col("at")).alias("slack"))
     stretch = Window.partitionBy(F.pmod(F.xxhash64("bucket"), F.lit(STRETCHES))).orderBy("bucket")
-    beside = tokens.select("group", "bucket", F.lag("bucket").over(stretch).alias("before"), F.lead("bucket").over(stretch).alias("after"))
-    shared = beside.where("bucket = before or bucket = after").select("group", "bucket")
-    alone = groups.where("classes > 1").select("group", F.col("group").bitwiseOR(F.lit(-(1 << 63))).alias("bucket"))
-    members = shared.union(alone).join(classes.select("group", "item", "weight", F.col("n").alias("mark")), "group")
-    members = stored(members.select("bucket", "item", "weight", "mark"), "members")
+    beside = tokens.select("group", "bucket", "slack", F.lag("bucket").over(stretch).alias("before"), F.lead("bucket").over(stretch).alias("after"))
+    shared = beside.where("bucket = before or bucket = after").select("group", "bucket", "slack")
+    alone = groups.where("classes > 1").select("group", F.col("group").bitwiseOR(F.lit(-(1 << 63))).alias("bucket"), slack(F.col("n"), F.lit(0)).alias("slack"))
+    # The set with the fewest shingles of its own is tried with all others first: it is what copies were made from.
+    members = shared.union(alone).join(classes.select("group", "item", "n"), "group")
+    members = stored(members.select("bucket", "item", F.col("slack").alias("weight"), F.struct("n", "slack").alias("mark")), "members")
+    details = classes.select("item", F.struct("n", *PARTS).alias("detail"))
 
     def near_sizes(left: Column, right: Column) -> Column:
-        return F.least(left, right) * 100 >= F.greatest(left, right) * PERCENT
+        sizes = F.least(left["n"], right["n"]) * 100 >= F.greatest(left["n"], right["n"]) * PERCENT
+        return sizes & (left["slack"] + right["slack"] >= 0)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = classes.select("item", "group", "whole", "doc_id", "n")
+        of = classes.select("item", "group", "whole", "doc_id", "n", F.struct("n", *PARTS).alias("detail"))
         sides = [of.select(*(F.col(c).alias(f"{side}_{c}" if c != "item" else side) for c in of.columns)) for side in ("a", "b")]
-        named = stored(pairs.join(sides[0], "a").join(sides[1], "b"), "named")
+        named = pairs.join(sides[0], "a").join(sides[1], "b")
+        named = stored(named.where(alike_sketches(F.col("a_detail"), F.col("b_detail"))).drop("a_detail", "b_detail"), "named")
         between = named.select("a_group", "b_group").distinct()
         ends = [groups.select(F.col("group").alias(f"{s}_group"), F.col("prefix").alias(f"{s}_prefix"), F.col("n").alias(f"{s}_size")) for s in ("a", "b")]
         between = between.join(ends[0], "a_group").join(ends[1], "b_group")
@@ -200,7 +231,7 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         common = F.size(F.array_intersect("left", "right"))
         return both.where(100 * common >= PERCENT * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
-    linked = linked_components(members, verify, near_sizes).withColumnRenamed("node", "item")
+    linked = linked_components(members, verify, near_sizes, details, alike_sketches).withColumnRenamed("node", "item")
     labelled = classes.join(linked, "item", "left").withColumn("component", F.coalesce("component", "item"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = labelled.join(smallest, "component").select("whole", "component_id")

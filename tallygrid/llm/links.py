@@ -40,16 +40,21 @@ def components(links: DataFrame, longest: int = 100) -> DataFrame:
 
 
 def linked_components(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[Column, Column], Column],
+    details: DataFrame | None = None,
+    alike: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(node, component) of all items linked to another one.
 
-    ``members`` has bucket, item, weight and mark, all whole numbers; two items may be linked only
-    if they share a bucket and ``near`` holds for their marks. ``verify`` gets distinct pairs (a, b)
+    ``members`` has bucket, item, weight and mark; two items may be linked only if in a bucket
+    that they share ``near`` holds for their marks, and ``alike`` for their ``details``, a table
+    (item, detail) joined only to what the second pass is about. ``verify`` gets distinct pairs (a, b)
     and returns those that are linked. In a first pass every item is tried with the heaviest and
     the smallest item of its bucket. That joins what is a group of copies. In a second pass pairs
     are tried that share a bucket and are still in different components; pairs within a
-    component need no test, as they could not change it.
+    component need no test, as they could not change it, and a bucket of two was tried in full.
     """
     centers = members.groupBy("bucket").agg(
         F.max_by("item", "weight").alias("heavy"),
@@ -69,10 +74,16 @@ def linked_components(
     labels = stored(components(links), "labels")
     named = shared.select("bucket", "item", "mark").join(labels.withColumnRenamed("node", "item"), "item", "left")
     named = named.select("bucket", "item", "mark", F.coalesce("component", "item").alias("part"))
-    split = named.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-    open_members = stored(named.join(split.select("bucket"), "bucket", "left_semi"), "open")
-    left, right = (open_members.select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in ("item", "mark", "part"))) for side in ("l", "r"))
+    split = named.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("items"))
+    open_members = named.join(split.where("least < most and items > 2").select("bucket"), "bucket", "left_semi")
+    if details is not None:
+        open_members = open_members.join(details, "item")
+    open_members = stored(open_members, "open")
+    names = [c for c in open_members.columns if c != "bucket"]
+    left, right = (open_members.select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in ("l", "r"))
     apart = (F.col("l_item") < F.col("r_item")) & (F.col("l_part") != F.col("r_part")) & near(F.col("l_mark"), F.col("r_mark"))
+    if details is not None and alike is not None:
+        apart = apart & alike(F.col("l_detail"), F.col("r_detail"))
     rest = left.join(right, (left["bucket"] == right["bucket"]) & apart)
     rest = rest.select(F.col("l_item").alias("a"), F.col("r_item").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(verify(stored(rest, "pairs")), "links")

@@ -157,3 +157,35 @@ def test_line_dedup_takes_fuzzy_lines(spark):
     rows = [(i, base.replace(f" plate{i} ", f" plates{i} ")) for i in range(12)]
     kept = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.text != "" for r in kept) < 6 and {r.doc_id: r.text for r in kept}[0] == rows[0][1]
+
+
+def kept_lines(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r.doc_id for r in linededup.dedup_lines(docs).orderBy("doc_id").collect() if r.text]
+
+
+def test_line_dedup_finds_typos_and_changed_words(spark):
+    first = "please accept all cookies before reading this nice page today"
+    second = "the museum opens every morning except monday and closes late on every second friday evening in summer"
+    lines = [first, first.replace("reading", "readimg"), second, second.replace("monday", "sunday"), first + " unlike altogether"]
+    assert kept_lines(spark, lines) == [0, 2, 4]
+
+
+def test_line_dedup_of_short_lines_and_lines_without_spaces(spark):
+    clause = "本网站所有内容未经许可不得转载或用于商业用途违者必究"
+    lines = ["Read more", "read more!", "Alle Rechte", "Alle Rechte", clause, clause, clause.replace("许可", "允可"), "Seite", "Seite"]
+    assert kept_lines(spark, lines) == [0, 2, 4, 7, 8]
+    # Below 20 characters one edit is allowed, wherever it is.
+    for line in ("contact us", "subscribe to this", "all rights reserve"):
+        for at in range(len(line)):
+            for other in (line[:at] + "q" + line[at + 1 :], line[:at] + "q" + line[at:]):
+                assert linededup_share(spark, line, other)
+
+
+def linededup_share(spark, left, right, seen={}):
+    if not seen:
+        lines = ["contact us", "subscribe to this", "all rights reserve"]
+        texts = {line[:at] + "q" + line[at + skip :] for line in lines for at in range(len(line)) for skip in (0, 1)} | set(lines)
+        frame = spark.createDataFrame([(t,) for t in texts], "normal string")
+        seen.update((r.normal, set(r["keys"])) for r in linededup.with_keys(frame).collect())
+    return seen[left] & seen[right]

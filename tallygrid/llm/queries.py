@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import ann, bpe, jaccard, langid, linededup, packing, pii, quality, syncmers, toxicity
+from tallygrid.llm import ann, bpe, jaccard, langid, lexical, linededup, packing, pii, quality, sharding, syncmers, toxicity, trie
 from tallygrid.llm.common import fold, table
 
 
@@ -59,6 +59,18 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -74,6 +86,9 @@ LLM_QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_linededup": op9_linededup,
     "op10_syncmers": op10_syncmers,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sharding": op13_sharding,
     "pipeline": pipeline,
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {"op11_prefix_trie": trie.ORACLE, "op12_lexical_search": lexical.ORACLE}

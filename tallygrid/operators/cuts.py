@@ -1,4 +1,9 @@
-"""Selecting events with polygon cuts: one narrow pass, no shuffle, no Python."""
+"""Selecting events with polygon cuts: one narrow pass, no shuffle, no Python.
+
+Nearly every row is settled in generated code, which leaves a code beside it: outside, inside, or
+undecided. Only undecided rows, next to an edge, then go through the exact test, whose
+loops Spark interprets.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,18 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.functions.polygon import bounding_box, has_area, inside_polygon
-from tallygrid.functions.readings import as_double, valid
+from tallygrid.functions.polygon import (
+    INSIDE,
+    OUTSIDE,
+    UNDECIDED,
+    bounding_box,
+    exact_inside,
+    has_area,
+    near_polygon,
+    settled,
+    slot_edges,
+)
+from tallygrid.functions.readings import number, valid
 from tallygrid.specs import SENTINEL, Cut, require_columns, unique_cuts
 
 
@@ -29,7 +44,10 @@ def tag_cuts(df: DataFrame, cuts: Iterable[Cut]) -> DataFrame:
         raise ValueError(f"cut ids that are columns of the table already: {taken}")
     if not usable:
         return df
-    return df.withColumns({c.cut_id: F.coalesce(_inside(df, c), F.lit(False)) for c in usable})
+    codes = _code_names(df, usable)
+    coded = _with_codes(df, df, codes, usable)
+    tags = {cut.cut_id: F.coalesce(_decided(df, cut, code), F.lit(False)) for code, cut in zip(codes, usable, strict=True)}
+    return coded.withColumns(tags).drop(*codes)
 
 
 def apply_cuts(
@@ -46,26 +64,57 @@ def apply_cuts(
     usable = usable_cuts(df, cuts)
     if not usable:
         raise ValueError("no cut has both columns chosen")
-    merge = operator.or_ if combine == "or" else operator.and_
-    boxes, insides = [], []
-    for cut in usable:
-        box, inside = _box(df, cut), _inside(df, cut)
-        if drop_sentinel:
-            for column in (cut.x_column, cut.y_column):
-                inside = F.expr(valid(df, column, SENTINEL)) & inside
-        boxes.append(box)
-        insides.append(inside)
+    merge = functools.partial(functools.reduce, operator.or_ if combine == "or" else operator.and_)
+    codes = _code_names(df, usable)
+    boxes, near, possible, inside = [], [], [], []
+    for code, cut in zip(codes, usable, strict=True):
+        x, y = _readings(df, cut)
+        present = [F.expr(valid(df, c, SENTINEL)) for c in (cut.x_column, cut.y_column)] if drop_sentinel else []
+        boxes.append(_box(df, cut))
+        near.append(functools.reduce(operator.and_, present, F.expr(near_polygon(x, y, cut.vertices))))
+        possible.append(functools.reduce(operator.and_, present, F.col(code) != F.lit(OUTSIDE)))
+        inside.append(functools.reduce(operator.and_, present, _decided(df, cut, code)))
     # The boxes alone are plain comparisons, which the Parquet reader can use to skip
-    # row groups; inside a disjunction with the exact test they could not get there.
-    return df.where(functools.reduce(merge, boxes)).where(functools.reduce(merge, insides))
+    # row groups; inside a disjunction with other tests they could not get there.
+    rows = df.where(merge(boxes)).where(merge(near))
+    rows = _with_codes(df, rows, codes, usable).where(merge(possible))
+    return rows.where(merge(inside)).drop(*codes)
+
+
+def _with_codes(df: DataFrame, rows: DataFrame, codes: list[str], cuts: list[Cut]) -> DataFrame:
+    """A code column for each cut, made from columns with the edges near the row.
+
+    The codes are not deterministic to the optimizer, which therefore keeps them as columns and does not put all of
+    their arithmetic into later filters once for each time they are named.
+    """
+    bound, coded = {}, {}
+    for code, cut in zip(codes, cuts, strict=True):
+        x, y = _readings(df, cut)
+        near = {f"{code}_{at}": F.expr(edge) for at, edge in enumerate(slot_edges(y, cut.vertices))}
+        bound |= near
+        coded[code] = F.expr(f"{settled(x, y, cut.vertices, list(near))} + spark_partition_id() * 0")
+    return (rows.withColumns(bound) if bound else rows).withColumns(coded).drop(*bound)
+
+
+def _code_names(df: DataFrame, cuts: list[Cut]) -> list[str]:
+    """Names that no column has, one for each cut."""
+    taken, stem = {name.lower() for name in df.columns} | {cut.cut_id.lower() for cut in cuts}, "code"
+    while any(name.startswith(stem) for name in taken):
+        stem += "_"
+    return [f"{stem}{at}" for at in range(len(cuts))]
+
+
+def _readings(df: DataFrame, cut: Cut) -> tuple[str, str]:
+    return number(df, cut.x_column), number(df, cut.y_column)
 
 
-def _inside(df: DataFrame, cut: Cut) -> Column:
-    return inside_polygon(as_double(df, cut.x_column), as_double(df, cut.y_column), cut.vertices)
+def _decided(df: DataFrame, cut: Cut, code: str) -> Column:
+    # Kept apart from the filter before it, which stays in generated code, by what the optimizer may not move.
+    exact = F.expr(f"{exact_inside(*_readings(df, cut), cut.vertices)} AND spark_partition_id() >= 0")
+    return F.when(F.col(code) == F.lit(UNDECIDED), exact).otherwise(F.col(code) == F.lit(INSIDE))
 
 
 def _box(df: DataFrame, cut: Cut) -> Column:
     if not has_area(cut.vertices):
         return F.lit(False)
-    x, y = as_double(df, cut.x_column), as_double(df, cut.y_column)
-    return bounding_box(x, y, cut.vertices)
+    return F.expr(bounding_box(*_readings(df, cut), cut.vertices))

@@ -114,3 +114,23 @@ def test_passes_of_the_catalogue_share_columns(spark, tmp_path):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert len(schemas) == 3
     assert sum(schema.count(":") for schema in schemas) <= 31
+
+
+def test_cuts_are_settled_in_generated_code(spark, sf_dir):
+    plan = explained(w.QUERIES["cut_apply_or"](spark, sf_dir), "simple")
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    settling = [line for line in lines if "Filter (NOT (code0" in line]
+    assert settling and all(line.startswith("*(") for line in settling)
+    assert "transform(" not in settling[0] and "Exchange" not in plan
+    assert sum("code0" in line and line.startswith("*(") and "Project" in line for line in lines) >= 1
+
+
+@pytest.mark.parametrize("query", ["cut_tag", "cut_apply_or", "cut_apply_large"])
+def test_methods_of_cuts_stay_compilable(spark, sf_dir, query):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = explained(w.QUERIES[query](spark, sf_dir), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000

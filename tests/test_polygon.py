@@ -11,9 +11,14 @@ from tallygrid.functions.polygon import (
     INSIDE,
     MAX_LISTED,
     NEAR_EDGE,
+    UNDECIDED,
     cells,
+    exact_sign,
     inside_polygon,
     ring_edges,
+    scale,
+    settled,
+    slots,
     strips,
 )
 
@@ -48,8 +53,10 @@ def subdivided(vertices, times):
 
 def check(spark, vertices, points):
     df = spark.createDataFrame(points, "x double, y double")
-    got = df.select("x", "y", inside_polygon(F.col("x"), F.col("y"), vertices).alias("i"))
-    for x, y, i in got.collect():
+    inside, code = (F.expr(test("x", "y", vertices)) for test in (inside_polygon, settled))
+    got = df.select("x", "y", inside.alias("i"), code.alias("code"))
+    for x, y, i, code in got.collect():
+        assert code in (UNDECIDED, INSIDE if i else 0) or (code is None and (x is None or y is None)), (x, y)
         if x is None or y is None:
             assert not i
         elif math.isnan(x) or math.isnan(y):
@@ -111,10 +118,11 @@ def test_every_strip_lists_the_edges_that_reach_it():
     vertices = [(rng.uniform(-5, 5), rng.uniform(-1e-3, 1e7)) for _ in range(300)]
     edges = ring_edges(vertices)
     lowest, height, table = strips(edges)
+    factor = scale([e[1] for e in edges])
     assert sum(map(len, table)) <= MAX_LISTED * len(edges)
     for _ in range(3000):
-        y = rng.uniform(lowest, max(v[1] for v in vertices))
-        listed = {edges[i] for i in table[math.floor((y - lowest) / height)]}
+        y = rng.uniform(min(v[1] for v in vertices), max(v[1] for v in vertices))
+        listed = {edges[i] for i in table[math.floor((y * factor - lowest) / height)]}
         assert {e for e in edges if min(e[1], e[3]) <= y <= max(e[1], e[3])} <= listed
 
 
@@ -123,11 +131,11 @@ def test_settled_cells_hold_no_edge_and_one_answer(corners):
     rng = random.Random(corners)
     vertices = [(rng.uniform(-5, 5), rng.uniform(0, 3e4)) for _ in range(corners)]
     (low_x, low_y, width, height), kinds = cells(ring_edges(vertices))
+    scales = [scale([v[at] for v in vertices]) for at in (0, 1)]
     seen = set()
     for _ in range(400):
-        x = rng.uniform(low_x, low_x + CELLS * width)
-        y = rng.uniform(low_y, low_y + CELLS * height)
-        column, row = math.floor((x - low_x) / width), math.floor((y - low_y) / height)
+        x, y = (rng.uniform(min(v[at] for v in vertices), max(v[at] for v in vertices)) for at in (0, 1))
+        column, row = math.floor((x * scales[0] - low_x) / width), math.floor((y * scales[1] - low_y) / height)
         kind = kinds[column * (CELLS + 1) + row]
         seen.add(kind)
         if kind != NEAR_EDGE:
@@ -135,6 +143,84 @@ def test_settled_cells_hold_no_edge_and_one_answer(corners):
     assert NEAR_EDGE in seen
 
 
+def beside(vertices, rng, count):
+    """Points on and within 1e-12 of the edges, and next to the corners."""
+    found = []
+    for (x1, y1), (x2, y2) in zip(vertices, vertices[1:] + vertices[:1]):
+        for _ in range(count):
+            t, off = rng.random(), rng.choice([0.0, 1e-12, 1e-15, 1e-17])
+            x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+            found.append((x + rng.uniform(-off, off), y + rng.uniform(-off, off)))
+            found.append((math.nextafter(x, rng.choice([-9.0, 9.0])), y))
+        found.append((math.nextafter(x1, 9.0), math.nextafter(y1, -9.0)))
+    return found
+
+
+@pytest.mark.parametrize("corners", [3, 4, 12, 60])
+def test_points_beside_edges(spark, corners):
+    rng = random.Random(corners)
+    vertices = [(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(corners)]
+    check(spark, vertices, beside(vertices, rng, 40) + vertices)
+    check(spark, subdivided([(0.1, 0.1), (0.7, 0.3), (0.3, 0.9)], corners), beside([(0.1, 0.1), (0.7, 0.3), (0.3, 0.9)], rng, 60))
+
+
+HUGE, TINY = 1.7976931348623157e308, 5e-324
+EXTREME = [0.0, -0.0, TINY, -TINY, 3 * TINY, 2.2250738585072014e-308, 1e-200, 1e-17, 0.1, 0.3, 1.0, 1.0000000000000002, 3.0, 1e9, 1e200, HUGE, -HUGE, -1e308, -0.7]
+
+
+def test_corners_at_the_ends_of_the_doubles(spark):
+    check(spark, [(-1e308, -1e308), (1e308, -1e308), (1e308, 1e308), (-1e308, 1e308)], [(0.0, 0.0), (1e308, 0.0), (9e307, -9e307), (HUGE, 0.0)])
+    check(spark, [(0.0, 0.0), (TINY, 0.0), (0.0, TINY)], [(0.0, 0.0), (TINY, TINY), (1.0, 1.0)])
+    check(spark, [(0.0, 0.0), (9 * TINY, 0.0), (0.0, 9 * TINY)], [(a * TINY, b * TINY) for a in range(10) for b in range(10)])
+    check(spark, [(-HUGE, -HUGE), (HUGE, HUGE), (-HUGE, HUGE)], [(0.0, TINY), (TINY, 0.0), (0.0, 0.0), (-TINY, TINY), (1.0, 1.0000000000000002)])
+
+
+def test_all_finite_doubles(spark):
+    """Polygons and points made of any doubles, among them those that mix the smallest and the largest."""
+    rng = random.Random(77)
+
+    def any_double():
+        if rng.random() < 0.5:
+            return rng.choice(EXTREME)
+        return math.ldexp(rng.choice([-1, 1]) * rng.random(), rng.randint(-1073, 1024))
+
+    for _ in range(25):
+        vertices = [(any_double(), any_double()) for _ in range(rng.randint(3, 6))]
+        xs, ys = [v[0] for v in vertices], [v[1] for v in vertices]
+        points = [(any_double(), any_double()) for _ in range(60)] + [(rng.choice(xs), rng.choice(ys)) for _ in range(20)]
+        points += [(rng.choice(xs) / 2 + rng.choice(xs) / 2, rng.choice(ys) / 2 + rng.choice(ys) / 2) for _ in range(60)]
+        check(spark, vertices, points + vertices)
+
+
+def test_exact_sign(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        x1, y1, x2, y2 = (rng.choice(EXTREME) if rng.random() < 0.3 else rng.uniform(-9, 9) for _ in range(4))
+        t = rng.random()
+        x, y = x1 + t * (x2 / 2 - x1 / 2) * 2, y1 + t * (y2 / 2 - y1 / 2) * 2
+        if math.isfinite(x) and math.isfinite(y):
+            rows.append((x, y, x1, y1, x2, y2))
+    df = spark.createDataFrame(rows, "x double, y double, x1 double, y1 double, x2 double, y2 double")
+    for *row, sign in df.select("*", F.expr(exact_sign(*df.columns))).collect():
+        x, y, x1, y1, x2, y2 = map(Fraction, row)
+        turn = (x1 - x) * (y2 - y) - (y1 - y) * (x2 - x)
+        assert sign == (turn > 0) - (turn < 0), row
+
+
+def test_slots_hold_the_edges_of_their_strip():
+    vertices = [(math.cos(k * math.tau / 180), 40 * math.sin(k * math.tau / 180)) for k in range(180)]
+    lowest, height, count, numbers = slots(ring_edges(vertices))
+    width = len(numbers) // (count + 1)
+    factor = scale([v[1] for v in vertices])
+    for number, (_, y1, _, y2) in enumerate(ring_edges(vertices)):
+        for y in (y1, (y1 + y2) / 2, y2):
+            strip = min(count, math.floor((y * factor - lowest) / height))
+            assert number in numbers[strip * width : (strip + 1) * width]
+    rng = random.Random(3)
+    assert slots(ring_edges([(rng.random(), rng.random()) for _ in range(300)])) is None
+
+
 # -- cuts ----------------------------------------------------------------------------
 
 

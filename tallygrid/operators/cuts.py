@@ -18,14 +18,13 @@ from tallygrid.functions.polygon import (
     INSIDE,
     OUTSIDE,
     UNDECIDED,
-    bounding_box,
     exact_inside,
     has_area,
     near_polygon,
     settled,
     slot_edges,
 )
-from tallygrid.functions.readings import number, valid
+from tallygrid.functions.readings import compared, number, valid
 from tallygrid.specs import SENTINEL, Cut, require_columns, unique_cuts
 
 
@@ -117,4 +116,8 @@ def _decided(df: DataFrame, cut: Cut, code: str) -> Column:
 def _box(df: DataFrame, cut: Cut) -> Column:
     if not has_area(cut.vertices):
         return F.lit(False)
-    return F.expr(bounding_box(*_readings(df, cut), cut.vertices))
+    sides = [("<", max), (">", min)]
+    columns = ((cut.x_column, 0), (cut.y_column, 1))
+    return F.expr(
+        " AND ".join(compared(df, name, sign, float(end(v[at] for v in cut.vertices))) for name, at in columns for sign, end in sides)
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.binning import bin_index, in_range
-from tallygrid.functions.readings import number, selected, valid
+from tallygrid.functions.readings import between, number, selected, valid
 from tallygrid.operators.derive import keep
 from tallygrid.specs import (
     SENTINEL,
@@ -50,7 +50,7 @@ def hist1d(
     require_columns(df.columns, [spec.x.column])
     rows = keep(df, bases[spec.base], sentinel)
     value = number(rows, spec.x.column)
-    counted_rows = rows.where(in_range(value, spec.x))
+    counted_rows = rows.where(between(rows, spec.x.column, spec.x.lo, spec.x.hi))
     bins = counted_rows.selectExpr(f"{bin_index(value, spec.x)} AS x_bin")
     counted = bins.where(F.col("x_bin") < F.lit(spec.x.bins)).groupBy("x_bin").count()
     return counted.select(
@@ -71,7 +71,8 @@ def hist2d(
         rows = rows.where(valid(rows, spec.x.column, sentinel))
         rows = rows.where(valid(rows, spec.y.column, sentinel))
     x, y = number(rows, spec.x.column), number(rows, spec.y.column)
-    bins = rows.where(f"{in_range(x, spec.x)} AND {in_range(y, spec.y)}").selectExpr(
+    ranges = [between(rows, axis.column, axis.lo, axis.hi) for axis in (spec.x, spec.y)]
+    bins = rows.where(" AND ".join(ranges)).selectExpr(
         f"{bin_index(x, spec.x)} AS x_bin", f"{bin_index(y, spec.y)} AS y_bin"
     )
     counted = bins.groupBy("x_bin", "y_bin").count()

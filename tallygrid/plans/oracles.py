@@ -247,6 +247,7 @@ def _oracles() -> dict[str, str]:
         "hist1d_int_column": flat(w.PART_SIZE, "part"),
         "hist1d_sentinel_out_of_range": f"WITH {view()} {flat(w.POSITION, 'view0')}",
         "hist2d_qty_price": counts(w.QTY_PRICE, "lineitem"),
+        "hist2d_whole_numbers": counts(w.KEY_PRICE, "orders"),
         "hist2d_sentinel": f"WITH {view()} {counts(w.BOTH_POSITIONS, 'view0')}",
         "hist2d_minmax": (
             f"WITH {view()} SELECT hist, CAST(1 AS BIGINT) AS min_count, max(count) AS max_count, "
@@ -287,6 +288,7 @@ def _oracles() -> dict[str, str]:
         "cut_apply_or": cut_rows(f"{inside(w.SQUARE)} OR {inside(w.STAR)}"),
         "cut_apply_and": cut_rows(f"{inside(w.STAR)} AND {inside(w.TRIANGLE)}"),
         "cut_apply_large": cut_rows(inside(w.WAVY)),
+        "cut_whole_numbers": f"SELECT o_orderkey, o_totalprice FROM orders WHERE {inside(w.KEYS)}",
         "cut_sentinel": (
             f"WITH {view()} SELECT l_orderkey, l_linenumber, X1, X2 FROM view0 "
             "WHERE X1 > -2e6 AND X1 < 0 AND X2 > -2e6 AND X2 < 0"

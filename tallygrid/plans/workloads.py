@@ -51,6 +51,11 @@ QTY_PRICE = tg.Hist2D(
     tg.Axis("l_quantity", 50, 0.0, 50.0),
     tg.Axis("l_extendedprice", 64, 0.0, 105000.0),
 )
+KEY_PRICE = tg.Hist2D(
+    "key v price",
+    tg.Axis("o_orderkey", 40, 99.5, 9000.25),
+    tg.Axis("o_totalprice", 32, 0.0, 500000.0),
+)
 POSITION = tg.Hist1D("X1", tg.Axis("X1", 600, -300.0, 300.0))
 BOTH_POSITIONS = tg.Hist2D(
     "X2 v X1", tg.Axis("X1", 600, -300.0, 300.0), tg.Axis("X2", 600, -300.0, 300.0)
@@ -79,6 +84,7 @@ TRIANGLE = tg.Cut("triangle", ((10.0, 20000.0), (30.0, 20000.0), (20.0, 60000.0)
 SQUARE = tg.Cut("square", ((5.0, 5e3), (15.0, 5e3), (15.0, 15e3), (5.0, 15e3)), *_COLUMNS)
 STAR = tg.Cut("star", tuple(_star(5, 30.0, 50000.0, 15.0, 35000.0, 2)), *_COLUMNS)
 WAVY = tg.Cut("wavy", tuple(_wavy(180, 25.0, 45000.0, 18.0, 30000.0)), *_COLUMNS)
+KEYS = tg.Cut("keys", ((10.5, 1e3), (6000.25, 1e3), (3000.0, 450e3)), "o_orderkey", "o_totalprice")
 UNUSED = tg.Cut("unused", ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0)), "l_quantity", None)
 
 
@@ -147,6 +153,10 @@ def hist2d_qty_price(spark, sf_dir):
     return tg.hist2d(table(spark, sf_dir, "lineitem"), QTY_PRICE)
 
 
+def hist2d_whole_numbers(spark, sf_dir):
+    return tg.hist2d(table(spark, sf_dir, "orders"), KEY_PRICE)
+
+
 def hist2d_sentinel(spark, sf_dir):
     return tg.hist2d(detector_view(spark, sf_dir), BOTH_POSITIONS)
 
@@ -312,6 +322,11 @@ def cut_apply_large(spark, sf_dir):
     return _cut_rows(tg.apply_cuts(table(spark, sf_dir, "lineitem"), [WAVY]))
 
 
+def cut_whole_numbers(spark, sf_dir):
+    rows = tg.apply_cuts(table(spark, sf_dir, "orders"), [KEYS])
+    return rows.select("o_orderkey", "o_totalprice")
+
+
 def cut_sentinel(spark, sf_dir):
     reach = ((-2e6, -2e6), (0.0, -2e6), (0.0, 0.0), (-2e6, 0.0))
     cut = tg.Cut("low", reach, "X1", "X2")
@@ -433,6 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist1d_int_column": hist1d_int_column,
     "hist1d_sentinel_out_of_range": hist1d_sentinel_out_of_range,
     "hist2d_qty_price": hist2d_qty_price,
+    "hist2d_whole_numbers": hist2d_whole_numbers,
     "hist2d_sentinel": hist2d_sentinel,
     "hist2d_minmax": hist2d_minmax,
     "preset_both_planes": _preset("both planes"),
@@ -454,6 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cut_apply_or": cut_apply_or,
     "cut_apply_and": cut_apply_and,
     "cut_apply_large": cut_apply_large,
+    "cut_whole_numbers": cut_whole_numbers,
     "cut_sentinel": cut_sentinel,
     "cut_roundtrip": cut_roundtrip,
     "step_points": step_points,

@@ -134,3 +134,24 @@ def test_methods_of_cuts_stay_compilable(spark, sf_dir, query):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.fixture(scope="module")
+def whole_numbers(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("whole") / "table")
+    rows = spark.range(1000).selectExpr("id * 7 - 1000 AS k", "CAST(id * 1.25 AS DECIMAL(12,2)) AS d", "CAST(id AS DOUBLE) AS v")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_whole_numbers_and_decimals_reach_the_reader(whole_numbers):
+    spec = tg.Hist2D("h", tg.Axis("k", 10, 0.5, 100.25), tg.Axis("d", 10, 10.001, 50.0))
+    pushed = next(x for x in explained(tg.hist2d(whole_numbers, spec)).splitlines() if "PushedFilters" in x)
+    for part in ("GreaterThanOrEqual(k,1)", "LessThanOrEqual(k,100)", "GreaterThanOrEqual(d,10.01)", "LessThanOrEqual(d,49.99)"):
+        assert part in pushed
+    cut = tg.Cut("c", ((0.5, 10.001), (100.25, 10.001), (50.0, 50.0)), "k", "d")
+    pushed = next(x for x in explained(tg.apply_cuts(whole_numbers, [cut])).splitlines() if "PushedFilters" in x)
+    for part in ("GreaterThanOrEqual(k,1)", "LessThanOrEqual(k,100)", "GreaterThanOrEqual(d,10.01)", "LessThanOrEqual(d,49.99)"):
+        assert part in pushed
+    pushed = next(x for x in explained(tg.keep(whole_numbers, tg.Selection(missing=("k",)))).splitlines() if "PushedFilters" in x)
+    assert "GreaterThanOrEqual(k,-1000000)" in pushed and "LessThanOrEqual(k,-1000000)" in pushed

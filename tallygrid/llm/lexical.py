@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import shipped, stored
 
-TOP, BATCH_TERMS = 50, 200_000
+TOP, BATCH_TERMS, TEXTS = 50, 200_000, 256
 #: Anything but ASCII letters and digits and what is beyond ASCII parts the terms, in UTF-8 byte by byte.
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 TERM_BYTES = bytes(b if b in _KEPT else (b + 32 if 65 <= b <= 90 else 32) for b in range(256))
@@ -54,13 +54,14 @@ def item_terms(items: DataFrame, text: str = "text", id: str = "item_id") -> Dat
     return shipped(one).mapInArrow(rows, f"item bigint, item_id {kind}, term binary")
 
 
-def document_bags(docs: DataFrame, vocabulary: list[bytes], text: str = "text", id: str = "doc_id") -> DataFrame:
+def document_bags(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, n, terms, tfs): the number of all terms, and the numbers and counts of those in the vocabulary."""
-    known = docs.sparkSession.sparkContext.broadcast({term: at for at, term in enumerate(vocabulary)})
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = known.value.get
-        for batch in batches:
+        # A few texts at a time: a batch of Arrow may hold ten thousand.
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             sizes, ends, terms, tfs = [], [0], [], []
             for data in _texts(batch.column("text")):
                 words = text_terms(data)
@@ -145,10 +146,12 @@ def ranked_search(
     results, totals = [], None
     for at in range(batches):
         batch = pairs.where(F.pmod("item", F.lit(batches)) == at)
-        vocabulary = sorted(row[0] for row in batch.select("term").distinct().collect())
-        numbers = spark.createDataFrame([(bytearray(term), number) for number, term in enumerate(vocabulary)], "term binary, number int")
+        # All terms of a batch in one task, as their number is bounded.
+        numbered = batch.select("term").distinct().withColumn("number", F.row_number().over(Window.orderBy("term")) - 1)
+        numbers = stored(numbered, "vocabulary")
         wanted = batch.join(F.broadcast(numbers), "term").drop("term")
-        bags = stored(document_bags(docs, [bytes(term) for term in vocabulary], text, id), "bags")
+        vocabulary = {bytes(row["term"]): row["number"] for row in numbers.collect()}
+        bags = stored(document_bags(docs, vocabulary, text, id), "bags")
         if totals is None:
             totals = bags.where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if totals[0]:

@@ -43,7 +43,7 @@ from tallygrid.sources.events import (
     select_files,
     toggle_file,
 )
-from tallygrid.sources.reduced import save_cuts, save_separate, save_single
+from tallygrid.sources.reduced import finish_saves, save_cuts, save_separate, save_single
 from tallygrid.specs import SENTINEL, Axis, Cut, Hist1D, Hist2D, Selection
 
 __all__ = [
@@ -82,6 +82,7 @@ __all__ = [
     "pick",
     "save_cut",
     "save_cuts",
+    "finish_saves",
     "save_separate",
     "save_single",
     "scan_events",

@@ -2,7 +2,8 @@
 
 Nothing that a save did not write itself is ever touched: an output that is, holds or lies in
 an input fails before anything is written, an existing output fails unless ``replace`` is
-set, and even then the old result stays until the new one is complete.
+set, and even then only one that carries the mark of a save is replaced, after the new one is complete.
+A save that died while it replaced is finished by the next save to the place, or by ``finish_saves``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from tallygrid.operators.cuts import apply_cuts
 from tallygrid.sources.events import file_stem, scan_events, source_file
+from tallygrid.sources.commit import each, finish, marked, replace as put_in_place
 from tallygrid.sources.paths import Folder, read_files, refuse_overlap
 from tallygrid.specs import Cut
 
@@ -39,23 +41,26 @@ def save_single(
     rebalancing shuffle whose partitions are sized at run time. ``replace`` writes beside
     an existing output and takes its place once all is written.
     """
-    events = scan_events(spark, paths)
     target = Folder(spark, output)
+    base, _, name = target.name.rpartition("/")
+    finish(spark, base)
+    events = scan_events(spark, paths)
     refuse_overlap(spark, [target.name], _as_list(paths), read_files(events))
-    if target.exists() and not replace:
-        raise ValueError(f"{output} exists already; replace=True replaces it")
+    if target.exists():
+        if not replace:
+            raise ValueError(f"{output} exists already; replace=True replaces it")
+        if not marked(target, spark):
+            raise ValueError(f"{output} was not written by a save, so it is not replaced")
     rows = apply_cuts(events, cuts, **cut_options)
     if compact:
         rows = rows.hint("rebalance")
-    fresh = Folder(spark, f"{target.name}.new-{uuid.uuid4().hex}")
+    staging = Folder(spark, f"{target.name}.new-{uuid.uuid4().hex}")
     try:
-        rows.write.parquet(fresh.name)
+        rows.write.parquet(f"{staging.name}/rows")
     except Exception:
-        fresh.remove()
+        staging.remove()
         raise
-    if target.exists():
-        target.remove()
-    fresh.move_to(target.name)
+    put_in_place(spark, base, staging.name, {name: "rows"})
 
 
 def save_separate(
@@ -79,6 +84,8 @@ def save_separate(
     the inputs themselves may lie there. ``replace`` puts new outputs in the place of old
     ones of the same name, and takes away that of an input none of whose rows pass now.
     """
+    base = Folder(spark, output).name
+    finish(spark, base)
     events = scan_events(spark, paths)
     if OUTPUT_COLUMN in events.columns:
         raise ValueError(f"the event table already has a column {OUTPUT_COLUMN!r}")
@@ -89,13 +96,17 @@ def save_separate(
     if shown:
         names = [c[OUTPUT_COLUMN] for c in shown]
         raise ValueError(f"inputs share {clashes.count()} outputs, among them {names}")
-    base = Folder(spark, output).name
-    owned = {r[OUTPUT_COLUMN]: Folder(spark, f"{base}/{_partition(r[OUTPUT_COLUMN])}") for r in named.collect()}
-    refuse_overlap(spark, [folder.name for folder in owned.values()], _as_list(paths), files)
-    present = [name for name, folder in owned.items() if folder.exists()]
+    owned = {r[OUTPUT_COLUMN]: _partition(r[OUTPUT_COLUMN]) for r in named.collect()}
+    refuse_overlap(spark, [f"{base}/{folder}" for folder in owned.values()], _as_list(paths), files)
+    there = Folder(spark, base).names()
+    present = [name for name, folder in owned.items() if folder in there]
     if present and not replace:
         shown = sorted(present)[:_SHOWN]
         raise ValueError(f"{len(present)} outputs exist already, among them {shown}; replace=True replaces them")
+    own = each(lambda name: marked(Folder(spark, f"{base}/{owned[name]}"), spark), present)
+    foreign = sorted(name for name, written in zip(present, own, strict=True) if not written)
+    if foreign:
+        raise ValueError(f"{len(foreign)} outputs were not written by a save, so they are not replaced, among them {foreign[:_SHOWN]}")
 
     tagged = events.select("*", _output_name(source_file(), suffix).alias(OUTPUT_COLUMN))
     rows = apply_cuts(tagged, cuts, **cut_options)
@@ -108,15 +119,22 @@ def save_separate(
         schema = T.StructType([*events.schema.fields, T.StructField(OUTPUT_COLUMN, T.StringType())])
         kept = spark.read.schema(schema).parquet(staging.name).groupBy(OUTPUT_COLUMN).count().collect()
         counts = {row[OUTPUT_COLUMN]: row["count"] for row in kept}
-        for name in present:
-            owned[name].remove()
-        for name in counts:
-            Folder(spark, f"{staging.name}/{_partition(name)}").move_to(owned[name].name)
-    finally:
+    except Exception:
         staging.remove()
+        raise
+    moved = {owned[name]: owned[name] for name in counts}
+    put_in_place(spark, base, staging.name, moved, {owned[name] for name in present} - set(moved))
     return _manifest(spark, named, counts)
 
 
+def finish_saves(spark: SparkSession, folder: str) -> int:
+    """Finish what saves into the folder left half replaced when they died; returns how many there were.
+
+    Not for a folder into which another save is writing just now.
+    """
+    return finish(spark, Folder(spark, folder).name)
+
+
 def save_cuts(
     spark: SparkSession,
     paths: str | Sequence[str],

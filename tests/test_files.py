@@ -1,6 +1,8 @@
+import contextlib
 import json
 import os
 import shutil
+import time
 
 import pytest
 
@@ -8,6 +10,7 @@ from tallygrid import (
     Cut,
     apply_cuts,
     file_catalogue,
+    finish_saves,
     load_cuts,
     save_cut,
     save_cuts,
@@ -19,6 +22,7 @@ from tallygrid import (
     toggle_file,
 )
 from tallygrid.plans.workloads import scratch_dir
+from tallygrid.sources.paths import first_overlap
 
 BOX = Cut("box", ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)), "a", "b")
 
@@ -285,3 +289,81 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             scratch_dir(Session(spark_master=master))
+
+
+# -- replacing with recovery -----------------------------------------------------------
+
+
+class Died(Exception):
+    pass
+
+
+def dying_after(monkeypatch, moves):
+    """The file system dies at the move after so many."""
+    from tallygrid.sources import commit
+    from tallygrid.sources.paths import Folder
+
+    done, move = [], Folder.move_to
+    monkeypatch.setattr(commit, "each", lambda work, items: [work(item) for item in items])
+
+    def move_to(self, name):
+        if len(done) == moves:
+            raise Died
+        done.append(name)
+        move(self, name)
+
+    monkeypatch.setattr(Folder, "move_to", move_to)
+
+
+FAR = Cut("far", ((60.0, 60.0), (90.0, 60.0), (90.0, 90.0), (60.0, 90.0)), "a", "b")
+
+
+@pytest.mark.parametrize("moves", [0, 1])
+def test_single_save_that_died_is_finished(spark, own_folder, tmp_path, monkeypatch, moves):
+    files, out = [str(own_folder / f"{n}.parquet") for n in ("run.2", "run_3")], str(tmp_path / "out")
+    save_single(spark, files, [BOX], out)
+    with monkeypatch.context() as patched:
+        dying_after(patched, moves)
+        with pytest.raises(Died):
+            save_single(spark, files, [FAR], out, replace=True)
+    assert finish_saves(spark, str(tmp_path)) == 1
+    assert sorted(tags(spark.read.parquet(out)))[0].startswith("run_3")
+    assert finish_saves(spark, str(tmp_path)) == 0 and not list(tmp_path.glob("*.new-*"))
+
+
+@pytest.mark.parametrize("moves", range(4))
+def test_separate_save_that_died_is_finished_by_the_next(spark, own_folder, tmp_path, monkeypatch, moves):
+    files, out = [str(own_folder / f"{n}.parquet") for n in ("run.2", "run_3")], tmp_path / "out"
+    save_separate(spark, files, [Cut("all", ((-1e3, -1e3), (1e3, -1e3), (1e3, 1e3), (-1e3, 1e3)), "a", "b")], str(out))
+    before = spark.read.parquet(str(out)).count()
+    with monkeypatch.context() as patched:
+        dying_after(patched, moves)
+        # one output is replaced, the other has no rows now and goes
+        with pytest.raises(Died) if moves < 3 else contextlib.nullcontext():
+            save_separate(spark, files, [FAR], str(out), replace=True)
+    save_separate(spark, files[:1], [BOX], str(out), suffix="other")
+    assert before > 2 and sorted(p.name for p in out.glob("out_name=*")) == ["out_name=run.2_other", "out_name=run_3_filtered"]
+    assert spark.read.parquet(str(out / "out_name=run_3_filtered")).count() == 2
+    assert not list(out.glob("_new-*")) and not list(out.glob("_replace-*"))
+
+
+def test_foreign_folders_are_not_replaced(spark, own_folder, tmp_path):
+    file = str(own_folder / "run.2.parquet")
+    for name in ("mine", "out/out_name=run.2_filtered"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "diary.txt").write_text("mine")
+    for save, out in ((save_single, "mine"), (save_separate, "out")):
+        with pytest.raises(ValueError, match="not written by a save"):
+            save(spark, file, [BOX], str(tmp_path / out), replace=True)
+    assert len(list(tmp_path.rglob("diary.txt"))) == 2 and not list(tmp_path.rglob("*.parquet"))[2:]
+
+
+def test_overlaps_of_very_many_names():
+    inputs = [f"file:/data/in/run_{i}.parquet" for i in range(100_000)]
+    outputs = [f"file:/data/out/out_name=run_{i}" for i in range(100_000)]
+    started = time.monotonic()
+    assert first_overlap(outputs, inputs) is None
+    assert first_overlap([*outputs, "file:/data/in"], inputs) == ("file:/data/in", "file:/data/in/run_0.parquet")
+    assert first_overlap([*outputs, "file:/data/in/run_7.parquet/x"], inputs)[1] == "file:/data/in/run_7.parquet"
+    assert first_overlap(["file:/data/in/run_1"], inputs) is None
+    assert time.monotonic() - started < 10

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import shipped, stored
 
-TABLES, PROBES, SLOT, SEED = 20, 3, 2048, 17
+TABLES, PROBES, SLOT, SEED = 20, 5, 2048, 17
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -54,7 +54,7 @@ def signed_axes(vectors: np.ndarray, tables: int, probes: int, seed: int = SEED)
 
 
 def _hashed(classes: DataFrame, tables: int, probes: int, axes: int) -> DataFrame:
-    """(key, class, embedding) for each probe of each table; ``key`` numbers tables and axes."""
+    """(key, class, first, embedding) for each probe of each table; ``key`` numbers tables and axes."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,37 +64,38 @@ def _hashed(classes: DataFrame, tables: int, probes: int, axes: int) -> DataFram
                 keys = (codes + (np.arange(tables) * axes)[None, :, None]).reshape(len(part), -1)
                 yield part.assign(keys=list(keys.astype(np.int32)))
 
-    coded = classes.select("class", "embedding").mapInPandas(hashes, "class long, embedding array<float>, keys array<int>")
-    return coded.select(F.explode("keys").alias("key"), "class", "embedding")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    coded = classes.select("class", "first", "embedding").mapInPandas(hashes, f"class long, first long, embedding {kind}, keys array<int>")
+    return coded.select(F.explode("keys").alias("key"), "class", "first", "embedding")
 
 
 def _nearest_in_slot(keep: int):
     def nearest(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(members) and len(queries):
-            ids = members["class"].to_numpy()
+            ids, first = members["class"].to_numpy(), members["first"].to_numpy()
             rows = np.stack(members["embedding"].to_numpy()).astype(float)
             for query, vector in zip(queries["class"], queries["embedding"]):
                 away = np.sqrt(((rows - np.asarray(vector, float)) ** 2).sum(axis=1))
-                best = np.lexsort((ids, away))[:keep]
-                found.append(pd.DataFrame({"query": query, "class": ids[best], "distance": away[best]}))
-        empty = pd.DataFrame({"query": np.zeros(0, int), "class": np.zeros(0, int), "distance": np.zeros(0)})
+                best = np.lexsort((ids, first, away))[:keep]
+                found.append(pd.DataFrame({"query": query, "class": ids[best], "first": first[best], "distance": away[best]}))
+        empty = pd.DataFrame({name: np.zeros(0, int) for name in ("query", "class", "first")} | {"distance": np.zeros(0)})
         return pd.concat(found, ignore_index=True) if found else empty
 
     return nearest
 
 
 def _search(index: DataFrame, slots: DataFrame, probed: DataFrame, keep: int) -> DataFrame:
-    """The nearest ``keep`` classes of every probed slot: (query, class, distance)."""
-    placed = index.join(slots, "key").select("key", F.pmod(F.xxhash64("class"), "slots").alias("slot"), "class", "embedding")
+    """The nearest ``keep`` classes of every probed slot: (query, class, first, distance)."""
+    placed = index.join(slots, "key").select("key", F.pmod(F.xxhash64("class"), "slots").alias("slot"), "class", "first", "embedding")
     asked = probed.join(slots, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "class", "embedding")
     grouped = placed.groupBy("key", "slot").cogroup(asked.groupBy("key", "slot"))
-    return grouped.applyInPandas(_nearest_in_slot(keep), "query long, class long, distance double")
+    return grouped.applyInPandas(_nearest_in_slot(keep), "query long, class long, first long, distance double")
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
-    once = found.groupBy("query", "class").agg(F.min("distance").alias("distance"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "class"))
+    once = found.groupBy("query", "class", "first").agg(F.min("distance").alias("distance"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "first", "class"))
     return once.withColumn("place", place).where(F.col("place") <= keep).drop("place")
 
 
@@ -116,7 +117,9 @@ def nearest_neighbours(
     with fewer than ``neighbours`` found is searched again in all buckets of one table, which
     hold every row.
     """
-    rows = shipped(vectors).select(F.col(id).alias("id"), F.col(embedding).cast("array<float>").alias("embedding"), is_query.alias("asks"))
+    # Floats stay floats; any other numbers are held as doubles.
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    rows = shipped(vectors).select(F.col(id).alias("id"), F.col(embedding).cast(f"array<{kind}>").alias("embedding"), is_query.alias("asks"))
     lengths = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count()
     usual = lengths.orderBy(F.desc("count"), "n").first()
     size = usual["n"] if usual else 1
@@ -127,7 +130,8 @@ def nearest_neighbours(
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("id"))
     small = rows.select("id", "embedding").distinct().withColumn("place", place).where(F.col("place") <= keep)
     classes = small.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = stored(classes.select(F.col("ids")[0].alias("class"), "embedding", "ids"), "classes")
+    # A class goes by the hash of its vector: an id may come with several vectors.
+    classes = stored(classes.select(F.xxhash64("embedding").alias("class"), F.col("ids")[0].alias("first"), "embedding", "ids"), "classes")
     asking = rows.where("asks").select("id", "embedding").distinct()
     queries = stored(asking.join(classes.select("class", "embedding"), "embedding").select(F.col("id").alias("query_id"), "class"), "queries")
     wanted = classes.join(queries.select("class").distinct(), "class", "left_semi")
@@ -138,7 +142,7 @@ def nearest_neighbours(
     best = stored(_best(_search(index, slots, _hashed(wanted, tables, probes, axes), keep), keep), "best")
     reached = best.join(classes.select("class", F.size("ids").alias("n")), "class").groupBy("query").agg(F.sum("n").alias("n"))
     thin = wanted.join(reached.where(F.col("n") >= keep), wanted["class"] == F.col("query"), "left_anti")
-    everywhere = thin.select(F.explode(F.sequence(F.lit(0), F.lit(axes - 1))).alias("key"), "class", "embedding")
+    everywhere = thin.select(F.explode(F.sequence(F.lit(0), F.lit(axes - 1))).alias("key"), "class", "first", "embedding")
     again = _search(index.where(F.col("key") < axes), slots, everywhere, keep)
     best = _best(best.union(again), keep)
     ids = best.join(classes.select("class", "ids"), "class").select("query", "distance", F.explode("ids").alias("id"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -95,20 +96,30 @@ def brute(rows, queries, k=10):
         yield q, [(int(ids[i]), away[i]) for i in np.lexsort((ids, away)) if i != at][:k]
 
 
-def test_recall_and_scores(spark, sf_dir):
-    for folder in (sf_dir, "/root/testdata/sf0.01"):
-        vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
-        rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-        found = ann.nearest_neighbours(vectors, F.col("vec_id") % 10 == 0).toPandas().sort_values(["query_id", "rank"])
-        hits = total = 0
-        for query, want in brute(rows, [i for i, _ in rows if i % 10 == 0]):
-            mine = found[found["query_id"] == query]
-            assert list(mine["rank"]) == list(range(1, len(want) + 1))
-            exact = dict(next(brute(rows, [query], len(rows)))[1])
-            assert np.allclose(mine["score"], [exact[i] for i in mine["vec_id"]], rtol=1e-12)
-            hits += len(set(mine["vec_id"]) & {i for i, _ in want})
-            total += len(want)
-        assert hits / total >= 0.9
+@pytest.mark.parametrize("every", [10, 100])
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_and_scores(spark, folder, every):
+    vectors = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    found = ann.nearest_neighbours(vectors, F.col("vec_id") % every == 0).toPandas().sort_values(["query_id", "rank"])
+    hits = total = 0
+    for query, want in brute(rows, [i for i, _ in rows if i % every == 0]):
+        mine = found[found["query_id"] == query]
+        assert list(mine["rank"]) == list(range(1, len(want) + 1))
+        exact = dict(next(brute(rows, [query], len(rows)))[1])
+        assert np.allclose(mine["score"], [exact[i] for i in mine["vec_id"]], rtol=1e-12)
+        hits += len(set(mine["vec_id"]) & {i for i, _ in want})
+        total += len(want)
+    assert hits / total >= 0.9
+
+
+def test_doubles_and_an_id_with_two_vectors(spark):
+    """Distances that floats cannot tell apart, and two vectors of one id."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + 2e-9, 0.0]), (2, [1.0 + 1e-9, 0.0]), (3, [0.0, 1.0]), (3, [5.0, 5.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest_neighbours(vectors, F.col("vec_id") == 0).collect())
+    assert [i for _, i, _ in found] == [2, 1, 3, 3]
+    assert [s for *_, s in found] == pytest.approx([1e-9, 2e-9, math.sqrt(2), math.sqrt(41)], rel=1e-6)
 
 
 def test_odd_vectors_ties_and_few_candidates(spark):

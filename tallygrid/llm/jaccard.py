@@ -222,8 +222,10 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         differ = seen - 2 * F.size(F.array_intersect("a_prefix", "b_prefix"))
         possible = between.where(differ <= sizes - 2 * least_common(sizes)).select("a_group", "b_group")
         rest = stored(named.join(possible, ["a_group", "b_group"]), "expanded")
-        asked = rest.select(F.explode(F.array(F.struct(F.col("a_doc_id").alias("doc_id"), F.col("a_whole").alias("whole")), F.struct(F.col("b_doc_id").alias("doc_id"), F.col("b_whole").alias("whole")))).alias("x"))
-        sets = _sets_of(docs, asked.select("x.*").distinct())
+        # Each side by itself: a set that many pairs share is counted off before the sides meet.
+        asked = [rest.select(F.col(f"{s}_doc_id").alias("doc_id"), F.col(f"{s}_whole").alias("whole")).distinct() for s in ("a", "b")]
+        asked = stored(asked[0].union(asked[1]).distinct(), "asked")
+        sets = _sets_of(docs, asked)
         sets = stored(sets.where("asked = hash").select("asked", "shingles").dropDuplicates(["asked"]), "sets")
         left = sets.select(F.col("asked").alias("a_whole"), F.col("shingles").alias("left"))
         right = sets.select(F.col("asked").alias("b_whole"), F.col("shingles").alias("right"))

@@ -28,7 +28,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # Words that raise or lower the score of a span they stand near.
@@ -87,6 +87,22 @@ def _ip_fits(found: str) -> bool:
     return all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in found.split("."))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: of the ends on a border of words, the last one at which the checksum is right.
+
+    Capital words or numbers may follow, so a run as long as an account number can be is cut back word by word.
+    """
+    match = IBAN.search(text)
+    while match:
+        start, end = match.span()
+        ends = [at for at in range(end, start, -1) if not text[at : at + 1].isalnum() and text[at - 1] != " "]
+        compact = {at: text[start:at].replace(" ", "") for at in ends}
+        right = next((at for at in ends if len(compact[at]) >= 15 and mod97(compact[at])), None)
+        if right is not None:
+            yield start, right
+        match = IBAN.search(text, start + 1 if right is None else right)
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in emails(text):
         yield "email", start, end
@@ -100,10 +116,7 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for match in PHONE.finditer(text):
         if 10 <= len(digits_of(match[0])) <= 15:
             yield "phone", *match.span()
-    for match in IBAN.finditer(text):
-        compact = match[0].replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            yield "iban", *match.span()
+    yield from (("iban", *span) for span in ibans(text))
     for match in SSN.finditer(text):
         yield "ssn", *match.span()
 

@@ -62,3 +62,13 @@ def test_mask_keeps_rows_and_clashing_columns(clashing_docs):
     masked = {r.doc_id: r.text for r in rows}
     assert masked[12].startswith("call <PHONE> or mail <EMAIL>\n") and masked[4] is None and masked[5] == ""
     assert pii.find_pii(clashing_docs).columns == clashing_docs.columns
+
+
+def test_account_numbers_before_capitals_and_amounts():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC COBADEFF", " EUR 500", " EUR 500 IBAN GB82 WEST 1234 5698 7654 32 ZAHLBAR", ".", " AB12 3456"):
+        text = f"Konto {iban}{after}"
+        found = [text[s:e] for kind, s, e, *_ in pii.find_spans(text) if kind == "iban"]
+        assert found[0] == iban and (len(found) == 2) == ("GB82" in after)
+    assert not [s for s in pii.find_spans("Konto DE88 3704 0044 0532 0130 00 EUR") if s[0] == "iban"]
+    assert "<IBAN> BIC COBADEFF" in pii.mask_spans(f"Konto {iban} BIC COBADEFF", pii.find_spans(f"Konto {iban} BIC COBADEFF"))

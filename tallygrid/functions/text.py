@@ -38,14 +38,21 @@ def two_decimals(value: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """Shortest text of a double without exponent and without a bare ``.0``."""
+    """Shortest text of a double without exponent and without a bare ``.0``, at every size.
+
+    The digits of Spark's shortest text are kept; its exponent says where the point goes among them or how many
+    zeros stand between. NaN and the infinities stay words.
+    """
     short = value.cast("string")
-    size = F.abs(value)
-    large = F.rtrim(short.try_cast("decimal(38,10)").cast("string"), F.lit("0"))
-    small = F.rtrim(short.try_cast("decimal(38,37)").cast("string"), F.lit("0"))
-    text = (
-        F.when((size >= F.lit(1e7)) & (size < F.lit(1e28)), large)
-        .when((size < F.lit(1e-3)) & (size >= F.lit(1e-20)), small)
-        .otherwise(short)
+    parts = F.split(short, "E")
+    sign = F.when(F.startswith(short, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    # A mantissa has one digit before the point.
+    digits = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""), r"[-.]", "")
+    before = F.get(parts, F.lit(1)).cast("int") + F.lit(1)
+    shown = (
+        F.when(before <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -before), digits))
+        .when(before >= F.length(digits), F.rpad(digits, before, F.lit("0")))
+        .otherwise(F.concat(F.left(digits, before), F.lit("."), F.substring(digits, before + 1, F.length(digits))))
     )
-    return F.regexp_replace(text, r"\.0?$", "")
+    plain = F.regexp_replace(short, r"\.0$", "")
+    return F.when(F.contains(short, F.lit("E")), F.concat(sign, shown)).otherwise(plain)

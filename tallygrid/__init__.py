@@ -26,7 +26,9 @@ from tallygrid.operators.stats import (
     count_range,
     legend1d,
     legend2d,
+    running_sums1d,
     stats1d,
+    stats1d_windows,
     stats2d,
 )
 from tallygrid.plans.detector import (
@@ -89,7 +91,9 @@ __all__ = [
     "scan_selected",
     "select_files",
     "spec_table",
+    "running_sums1d",
     "stats1d",
+    "stats1d_windows",
     "stats2d",
     "step_points",
     "tag_cuts",

@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as FrameWindow
 from pyspark.sql import functions as F
 
 from tallygrid.functions.text import two_decimals
-from tallygrid.operators.geometry import geometry, one_dimensional, two_dimensional, with_empty
+from tallygrid.operators.geometry import geometry, one_dimensional, spec_table, two_dimensional, with_empty
 from tallygrid.specs import Axis, Hist1D, Hist2D, HistSpec
 
 Window = tuple[float, float]
@@ -120,6 +121,54 @@ def stats1d(
     )
 
 
+def running_sums1d(counts: DataFrame, specs: Iterable[Hist1D]) -> DataFrame:
+    """``(hist, x_bin, n, x_s1, x_s2)``: the three sums over all bins up to each bin, from -1 on.
+
+    As many rows as the histograms have bins. Persist or write it: any number of windows is then looked up in
+    ``stats1d_windows`` without going over the counts again.
+    """
+    chosen = one_dimensional(specs)
+    # Bins below the number of bins only; an index that rounded up to it was not counted.
+    bins = spec_table(counts.sparkSession, chosen).select("hist", F.explode(F.sequence(F.lit(-1), F.col("x_bins") - 1)).alias("x_bin"))
+    dense = bins.join(counts.select("hist", "x_bin", "count"), ["hist", "x_bin"], "left").na.fill(0, ["count"])
+    summed = dense.groupBy("hist", "x_bin").agg(F.sum("count").alias("n"), *_sums("x"))
+    upward = FrameWindow.partitionBy("hist").orderBy("x_bin")
+    return summed.select("hist", "x_bin", *(F.sum(c).over(upward).alias(c) for c in ("n", "x_s1", "x_s2")))
+
+
+def stats1d_windows(
+    running: DataFrame, specs: Iterable[Hist1D], windows: DataFrame, strict_window: bool = False
+) -> DataFrame:
+    """``(window_id, hist, count, mean, stdev)`` of every 1D spec in every window, as ``stats1d``.
+
+    ``windows`` has window_id, start and end; a null bound is no bound. Each window and histogram costs two lookups in
+    ``running_sums1d``, however wide the window is.
+    """
+    chosen = one_dimensional(specs)
+    spec = geometry(chosen, F.col("hist"))
+    names = F.array(*(F.lit(s.name) for s in chosen))
+    asked = windows.select("window_id", "start", "end", F.explode(names).alias("hist")).withColumn("spec", spec)
+    hi = {s.name: float(s.x.hi) for s in chosen}
+    asked = asked.withColumn("x_hi", F.element_at(F.create_map(*(F.lit(v) for pair in hi.items() for v in pair)), F.col("hist")))
+
+    def bin_of(bound: str) -> str:
+        place = f"CAST(floor(({bound} - spec.x_lo) / spec.x_width) AS BIGINT)"
+        return f"CASE WHEN isnan({bound}) THEN 0 WHEN {bound} < spec.x_lo OR {bound} > x_hi THEN NULL ELSE {place} END"
+
+    first, last = f"coalesce({bin_of('start')}, 0)", f"least(coalesce({bin_of('end')}, spec.x_bins - 1), spec.x_bins - 1)"
+    outside = "coalesce((end < spec.x_lo AND NOT isnan(end)) OR (start > x_hi AND NOT isnan(start)), false)" if strict_window else "false"
+    asked = asked.selectExpr("window_id", "hist", "spec", f"if({outside}, 1, {first}) AS first", f"if({outside}, 0, {last}) AS last")
+    asked = asked.withColumn("below", F.col("first") - 1)
+    upper = running.select("hist", F.col("x_bin").alias("last"), *(F.col(c).alias(f"u_{c}") for c in ("n", "x_s1", "x_s2")))
+    lower = running.select("hist", F.col("x_bin").alias("below"), *(F.col(c).alias(f"l_{c}") for c in ("n", "x_s1", "x_s2")))
+    found = asked.join(upper, ["hist", "last"]).join(lower, ["hist", "below"])
+    some = F.col("first") <= F.col("last")
+    differences = [F.when(some, F.col(f"u_{c}") - F.col(f"l_{c}")).otherwise(F.lit(0)).alias(c) for c in ("n", "x_s1", "x_s2")]
+    found = found.select("window_id", "hist", "spec", *differences)
+    mean, stdev = _mean_and_deviation("x")
+    return found.select("window_id", "hist", F.col("n").cast("bigint").alias("count"), mean.alias("mean"), stdev.alias("stdev"))
+
+
 def stats2d(
     counts: DataFrame,
     specs: Iterable[Hist2D],

@@ -92,6 +92,24 @@ def stats1d(spec: Hist1D, source: str, first: int, last: int, with_view: str = "
     FROM m LEFT JOIN h ON true"""
 
 
+def windows1d(spec: Hist1D, source: str) -> str:
+    lo, hi, last = num(spec.x.lo), num(spec.x.hi), spec.x.bins - 1
+
+    def bin_at(bound: str, otherwise: int) -> str:
+        place = f"CAST(floor(({bound} - {lo}) / {num(spec.x.width)}) AS BIGINT)"
+        return f"CASE WHEN {bound} < {lo} OR {bound} > {hi} THEN {otherwise} ELSE least({place}, {spec.x.bins}) END"
+
+    return f"""WITH h AS (SELECT x_bin, count AS n, {center(spec.x, "x_bin")} AS c FROM ({counts(spec, source)})),
+    w AS (SELECT c_custkey AS window_id, {bin_at("(c_acctbal / 10e0)", 0)} AS first,
+      {bin_at("(c_acctbal / 10e0 + 60e0)", last)} AS last FROM customer),
+    m AS (SELECT window_id, first, last, coalesce(sum(n), 0) AS n, sum(n * c) / sum(n) AS mean
+      FROM w LEFT JOIN h ON x_bin BETWEEN first AND last GROUP BY ALL)
+    SELECT window_id, '{spec.name}' AS hist, CAST(any_value(m.n) AS BIGINT) AS count,
+      round(coalesce(any_value(mean), 0e0), 6) AS mean,
+      round(coalesce(sqrt(sum(h.n * (c - mean) * (c - mean)) / sum(h.n)), 0e0), 6) AS stdev
+    FROM m LEFT JOIN h ON x_bin BETWEEN first AND last GROUP BY window_id"""
+
+
 def stats2d(spec, source: str, x: tuple[int, int], y: tuple[int, int]) -> str:
     cx, cy = center(spec.x, "x_bin"), center(spec.y, "y_bin")
     return f"""WITH h AS (
@@ -267,6 +285,7 @@ def _oracles() -> dict[str, str]:
             f"WITH {view(True)} SELECT l_orderkey, l_linenumber, {differences} FROM view0"
         ),
         "stats1d": rounded(one, "mean", "stdev"),
+        "stats1d_windows": windows1d(events, "events"),
         "stats1d_outside": rounded(whole, "mean", "stdev"),
         "stats1d_strict": (
             f"SELECT '{events.name}' AS hist, count(*) AS count, 0e0 AS mean, 0e0 AS stdev "

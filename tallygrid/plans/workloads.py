@@ -215,6 +215,15 @@ def stats1d(spark, sf_dir):
     return _rounded(tg.stats1d(_event_counts(spark, sf_dir), [EVENT_VALUE], WINDOW_1D))
 
 
+def stats1d_windows(spark, sf_dir):
+    """A window for each customer, from its balance on."""
+    start = F.col("c_acctbal") / 10
+    windows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("window_id"), start.alias("start"), (start + 60).alias("end"))
+    running = tg.running_sums1d(_event_counts(spark, sf_dir), [EVENT_VALUE])
+    found = tg.stats1d_windows(running, [EVENT_VALUE], windows)
+    return found.select("window_id", "hist", "count", *(F.round(c, 6).alias(c) for c in ("mean", "stdev")))
+
+
 def stats1d_outside(spark, sf_dir):
     return _rounded(tg.stats1d(_event_counts(spark, sf_dir), [EVENT_VALUE], WINDOW_OUTSIDE))
 
@@ -459,6 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "derive_average": derive_average,
     "derive_time_diff": derive_time_diff,
     "stats1d": stats1d,
+    "stats1d_windows": stats1d_windows,
     "stats1d_outside": stats1d_outside,
     "stats1d_strict": stats1d_strict,
     "stats2d": stats2d,

@@ -15,7 +15,9 @@ from tallygrid import (
     hist2d,
     legend1d,
     legend2d,
+    running_sums1d,
     stats1d,
+    stats1d_windows,
     stats2d,
 )
 from tallygrid.functions.text import plain_number, two_decimals
@@ -141,3 +143,22 @@ def test_single_histograms_feed_statistics(spark):
     df = spark.createDataFrame([(0.1, 1.0), (0.2, 1.0)], "v double, w double")
     assert stats1d(hist1d(df, FLAT), [FLAT]).collect()[0]["count"] == 2
     assert stats2d(hist2d(df, SQUARE), [SQUARE]).collect()[0]["count"] == 2
+
+
+def test_many_windows_equal_one_at_a_time(spark):
+    specs = [Hist1D("a", Axis("v", 20, -10.0, 10.0)), Hist1D("b", Axis("v", 7, 0.0, 3.5)), Hist1D("none", Axis("v", 3, 90.0, 93.0))]
+    rows = [("a", 0, None, 3), ("a", 7, None, 10**12), ("a", 19, None, 5), ("b", 0, None, 1), ("b", 6, None, 2)]
+    counts = spark.createDataFrame(rows, "hist string, x_bin long, y_bin long, count long")
+    bounds = [-20.0, -10.0, -3.3, 0.0, 0.5, 3.5, 9.99, 10.0, 50.0, math.nan]
+    windows = [(i, *w) for i, w in enumerate((a, b) for a in bounds for b in bounds)]
+    frame = spark.createDataFrame(windows, "window_id long, start double, end double")
+    running = running_sums1d(counts, specs)
+    for strict in (False, True):
+        got = {(r.window_id, r.hist): (r["count"], r["mean"], r["stdev"]) for r in stats1d_windows(running, specs, frame, strict).collect()}
+        assert len(got) == len(windows) * len(specs)
+        for i, start, end in windows[::7] + [w for w in windows if math.isnan(w[1]) or math.isnan(w[2])][::5]:
+            for r in stats1d(counts, specs, (start, end), strict_window=strict).collect():
+                assert got[i, r.hist] == pytest.approx((r["count"], r["mean"], r["stdev"]), rel=1e-9, abs=1e-9), (start, end, strict)
+    open_window = spark.createDataFrame([(1, None, None)], "window_id long, start double, end double")
+    whole = {r.hist: r["count"] for r in stats1d_windows(running, specs, open_window).collect()}
+    assert whole == {"a": 10**12 + 8, "b": 3, "none": 0}

@@ -50,6 +50,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def unused_names(frame: DataFrame, *wanted: str) -> list[str]:
+    """Names for added columns that no column of the frame has."""
+    taken = {name.lower() for name in frame.columns}
+    found = []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def hashed_share(id_name: str, share: dict, by: str) -> Column:
     """Rows of a sample by hash of the id: of each value of ``by`` about the given share.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.llm.common import shipped, stored, text_of
+from tallygrid.llm.common import shipped, stored, text_of, unused_names
 
 SHARDS, BLOCK_ROWS, SEED = 24, 16_384, 7
 #: What numpy draws from must be smaller.
@@ -96,17 +96,6 @@ def block_sizes(rows: int, shards: int, block_rows: int) -> tuple[np.ndarray, np
     return np.concatenate(owner), np.concatenate(first).astype(np.int64), np.concatenate(sizes).astype(np.int64)
 
 
-def unused_names(frame: DataFrame, *wanted: str) -> list[str]:
-    """Names for added columns that no column of the frame has."""
-    taken = {name.lower() for name in frame.columns}
-    found = []
-    for name in wanted:
-        while name in taken:
-            name += "_"
-        found.append(name)
-    return found
-
-
 def shuffle_into_shards(
     frame: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS, from_files: bool = False
 ) -> DataFrame:

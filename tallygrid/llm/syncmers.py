@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is taken as units: stretches of up to eight characters without white space, mostly words.
+A text is taken as units: words of up to eight characters, pieces of longer ones that begin at
+certain letters, and single signs of scripts without spaces. Where a unit begins depends on the
+characters next to it alone, so after an edit the units are soon the same again.
 Of all runs of ``RUN`` units those are anchors whose smallest inner pair of units, by hash, is
 their first or last pair. Whether a run is an anchor depends on nothing outside it, so an edit
-changes only anchors that touch it. Texts of fewer than ``FEW_UNITS`` units, which have few or no
-anchors, have each unit as an anchor besides.
+changes only anchors that touch it. Before the first unit and after the last one there are ``RUN`` - 1 marks, so that
+texts of any size have runs, by one rule; the first and the last run are always anchors.
 """
 
 from __future__ import annotations
@@ -12,35 +14,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrid.llm.common import unused_names
+
 RUN = 8
-FEW_UNITS = 4 * RUN
-UNIT = r"(\S{1,8})"
+#: Signs that are units each: Thai to Khmer, and East Asian letters.
+_SINGLE = r"\u0E00-\u0EFF\u1780-\u17FF\u2E80-\uD7AF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: Where words of more than eight characters are parted.
+_BEGINS = "aeiouAEIOU05"
+UNIT = rf"([{_SINGLE}]|[^\s{_SINGLE}]{{1,8}}(?![^\s{_SINGLE}])|[^\s{_SINGLE}][^\s{_SINGLE}{_BEGINS}]{{0,7}})"
 #: Documents by bucket of ids, and the most buckets, so both stay small at any size.
 DOCS_EACH, MOST_BUCKETS = 256, 100_000
 
 
-def with_anchors(docs: DataFrame, text: str = "text", output: str = "anchors") -> DataFrame:
+def with_anchors(docs: DataFrame, text: str = "text", output: str = "anchors", places: str | None = None) -> DataFrame:
     """Adds ``output``: 31-bit hashes of the anchors of each whole text, in the order of the text.
 
-    A null or empty text has none. A column already named ``output`` is replaced.
+    ``places`` names a second column with the number of the unit that each anchor begins with; in the first run that
+    is 1 - ``RUN``. A null text, an empty one or one of white space has no anchors. Columns already named so are replaced.
     """
-    units = docs.withColumn("__units", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), 1))
-    pairs = units.withColumn(
-        "__pairs", F.transform("__units", lambda unit, at: F.xxhash64(unit, F.get("__units", at + 1)))
-    )
+    units, pairs, found = unused_names(docs, "units", "pairs", "found")
+    given = F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(UNIT), 1)
+    before, after = ([F.lit(f"\x00{side}{at}") for at in range(1, RUN)] for side in "<>")
+    padded = F.when(F.size(units) > 0, F.concat(F.array(*before), F.col(units), F.array(*after))).otherwise(F.array().cast("array<string>"))
+    rows = docs.withColumn(units, given).withColumn(units, padded)
+    rows = rows.withColumn(pairs, F.transform(units, lambda unit, at: F.xxhash64(unit, F.get(F.col(units), at + 1))))
     last = RUN - 2
 
     def anchor(first: Column, at: Column) -> Column:
-        inner = F.least(*(F.get("__pairs", at + step) for step in range(1, last)))
-        closed = (first <= inner) | (F.get("__pairs", at + last) <= inner)
-        whole = F.xxhash64(first, *(F.get("__pairs", at + step) for step in range(2, RUN, 2)))
-        return F.when((at <= F.size("__units") - RUN) & closed, whole.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-
-    long_texts = F.filter(F.transform("__pairs", anchor), lambda found: found.isNotNull())
-    short_texts = F.transform("__units", lambda unit: F.xxhash64(unit).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    few = F.when(F.size("__units") < FEW_UNITS, short_texts).otherwise(F.array().cast("array<int>"))
-    found = pairs.withColumn(output, F.concat(long_texts, few))
-    return found.drop("__units", "__pairs")
+        inner = F.least(*(F.get(F.col(pairs), at + step) for step in range(1, last)))
+        closed = (first <= inner) | (F.get(F.col(pairs), at + last) <= inner)
+        outer = (at == 0) | (at == F.size(units) - RUN)
+        whole = F.xxhash64(first, *(F.get(F.col(pairs), at + step) for step in range(2, RUN, 2)))
+        short = whole.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+        given = short if places is None else F.struct(short.alias("hash"), (at - RUN + 1).alias("at"))
+        return F.when((at <= F.size(units) - RUN) & (closed | outer), given)
+
+    anchors = F.filter(F.transform(pairs, anchor), lambda one: one.isNotNull())
+    if places is None:
+        return rows.withColumn(output, anchors).drop(units, pairs)
+    rows = rows.withColumn(found, anchors)
+    named = {output: F.transform(found, lambda one: one["hash"]), places: F.transform(found, lambda one: one["at"])}
+    return rows.withColumns(named).drop(units, pairs, found)
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -63,6 +77,7 @@ def with_next(docs: DataFrame, carried: list[str], id: str = "doc_id", text: str
     also gets a copy of the first row of the one after it, so only one row for each range, at
     most ``MOST_BUCKETS``, is ever gathered.
     """
+    part, copy = unused_names(docs, "range", "copy")
     digest = F.xxhash64(text)
     bounds = docs.agg(F.count(F.lit(1)).alias("n"), F.min(id).alias("low"), F.max(id).alias("high")).first()
     buckets = max(1, min(MOST_BUCKETS, bounds["n"] // DOCS_EACH))
@@ -77,12 +92,12 @@ def with_next(docs: DataFrame, carried: list[str], id: str = "doc_id", text: str
     )
     copies = docs.join(
         F.broadcast(wanted), F.col(id).eqNullSafe(F.col("wanted.id")) & (digest == F.col("wanted.digest"))
-    ).select(F.col("bucket").alias("__bucket"), *docs.columns).dropDuplicates(["__bucket"])
-    rows = docs.select(bucket.alias("__bucket"), *docs.columns, F.lit(False).alias("__copy"))
-    rows = rows.union(copies.select("__bucket", *docs.columns, F.lit(True).alias("__copy")))
-    sorted_range = Window.partitionBy("__bucket").orderBy(F.asc("__copy"), F.desc_nulls_last(id), F.desc(digest))
+    ).select(F.col("bucket").alias(part), *docs.columns).dropDuplicates([part])
+    rows = docs.select(bucket.alias(part), *docs.columns, F.lit(False).alias(copy))
+    rows = rows.union(copies.select(part, *docs.columns, F.lit(True).alias(copy)))
+    sorted_range = Window.partitionBy(part).orderBy(F.asc(copy), F.desc_nulls_last(id), F.desc(digest))
     found = rows.withColumn("next", F.lead(F.struct(*carried)).over(sorted_range))
-    return found.where(~F.col("__copy")).drop("__bucket", "__copy")
+    return found.where(~F.col(copy)).drop(part, copy)
 
 
 def edited_rows(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
+import functools
 import hashlib
 import math
+import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -32,6 +36,87 @@ def test_edited_texts_and_likeness(spark, edge_docs, real_docs, no_docs):
     assert syncmers.edited_rows(no_docs).count() == 0
 
 
+def plain_units(text):
+    """The units of a text, found character by character."""
+    single = lambda c: any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1780, 0x17FF), (0x2E80, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+    word = lambda c: c not in " \t\n\x0b\f\r" and not single(c)
+    found, at = [], 0
+    while at < len(text):
+        end = at
+        if single(text[at]):
+            end = at + 1
+        elif word(text[at]):
+            while end < len(text) and end - at <= 8 and word(text[end]):
+                end += 1
+            if end - at > 8:
+                end = at + 1
+                while end - at < 8 and text[end] not in "aeiouAEIOU05":
+                    end += 1
+        if end == at:
+            at += 1
+            continue
+        found.append(text[at:end])
+        at = end
+    return found
+
+
+def plain_anchors(text):
+    hashed = lambda *parts: functools.reduce(lambda seed, part: xxhash.xxh64(part, seed=seed).intdigest(), parts, 42)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    units = plain_units(text)
+    if not units:
+        return []
+    run = syncmers.RUN
+    units = [f"\0<{i}" for i in range(1, run)] + units + [f"\0>{i}" for i in range(1, run)]
+    pairs = [signed(hashed(a.encode(), b.encode())) for a, b in zip(units, units[1:])]
+    found = []
+    for at in range(len(units) - run + 1):
+        window = pairs[at : at + run - 1]
+        if min(window[0], window[-1]) <= min(window[1:-1]) or at in (0, len(units) - run):
+            whole = hashed(*(struct.pack("<q", window[k]) for k in range(0, run - 1, 2)))
+            found.append((whole & 0x7FFFFFFF, at - run + 1))
+    return found
+
+
+def test_anchors_and_places_equal_plain_ones(spark, edge_docs):
+    rng = random.Random(4)
+    texts = ["", " ", "a", "two words", "internationalization of extraordinarily long wordings", "本网站所有内容 abc未经许可", "ไทย text", "x" * 100]
+    texts += ["".join(rng.choices("abcdefghij klm05\n", k=rng.randint(1, 400))) for _ in range(40)]
+    texts += [r.text for r in edge_docs.collect() if r.text and len(r.text) < 30_000]
+    frame = spark.createDataFrame([(t, "own") for t in texts], "text string, units string")
+    found = syncmers.with_anchors(frame, places="places")
+    assert found.columns == ["text", "units", "anchors", "places"]
+    for row in found.collect():
+        want = plain_anchors(row.text)
+        assert (row.anchors, row.places) == ([h for h, _ in want], [at for _, at in want]), row.text[:80]
+    same = syncmers.with_anchors(frame).select("text", "anchors").collect()
+    assert {r.text: r.anchors for r in same} == {r.text: r.anchors for r in found.collect()}
+
+
+def like(left, right):
+    left, right = ({h for h, _ in plain_anchors(t)} for t in (left, right))
+    return 2 * len(left & right) / (len(left) + len(right))
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "本网站所有内容未经许可不得转载或用于商业途违者必究"])
+def test_one_character_in_a_long_text_without_spaces(letters):
+    rng = random.Random(9)
+    text = "".join(rng.choices(letters, k=3000))
+    for at in (5, 1500):
+        assert like(text, text[:at] + rng.choice(letters) + text[at:]) > 0.9
+
+
+def test_one_rule_for_all_sizes():
+    words = [f"word{i}" for i in range(60)]
+    # A word more at the end touches the last RUN runs of the shorter text and RUN + 1 of the longer one, at any size.
+    for size in range(2, 60):
+        left, right = " ".join(words[:size]), " ".join(words[: size + 1])
+        kept = {h for h, at in plain_anchors(left) if at < size - syncmers.RUN}
+        assert kept <= {h for h, _ in plain_anchors(right)}
+        assert like(left, right) > (0.5 if size >= 30 else 0.0)
+    assert like("one", "other") < 1
+
+
 def test_repeated_ids_have_one_row_each(edge_docs):
     assert syncmers.edited_rows(edge_docs).where("doc_id = 12").count() == 2
 

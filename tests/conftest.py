@@ -13,6 +13,10 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans with polygons hold long constants, and the session keeps the texts of its last plans.
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.ui.retainedExecutions", "20")
+        .config("spark.sql.maxPlanStringLength", "200000")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )

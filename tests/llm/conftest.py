@@ -12,7 +12,10 @@ DOCUMENTS = T.StructType(
     ]
 )
 # Names that operators use inside or add.
-CLASHING = ("pii", "ids", "decoded", "anchors", "statistics", "language", "score", "row", "digest", "gone", "doc", "at", "piece")
+CLASHING = (
+    "pii", "ids", "decoded", "anchors", "statistics", "language", "score", "row", "digest", "gone", "doc", "at", "piece",
+    "units", "pairs", "range", "copy", "block", "place", "bucket", "line", "normal", "center", "coded",
+)
 PROSE = "The quick brown fox went over the old stone bridge and looked for water near the mill"
 LONG = " ".join(f"word{i % 997} tail{i % 31}" for i in range(30_000))
 TEXTS = [

@@ -212,7 +212,7 @@ def test_digests_of_shards(spark, sf_dir):
 
 
 def test_whole_rows_in_blocks(spark, clashing_docs, edge_docs):
-    extra = clashing_docs.select("*", F.lit("own").alias("block"), F.lit("own").alias("place"))
+    extra = clashing_docs  # among them block and place
     found = sharding.shuffle_into_shards(extra, shards=3, block_rows=2)
     assert found.columns == [*extra.columns, "shard", "slot"]
     key = lambda rows: sorted(map(str, rows))

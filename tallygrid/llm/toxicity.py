@@ -1,4 +1,4 @@
-"""Toxicity by a small convolutional text classifier, trained in numpy.
+"""Toxicity by a small convolutional text classifier, trained in numpy over shards of all labelled rows.
 
 A word is the sum of rows of three hashed embedding tables: one for the whole word and two for
 its first letters, which families of compound words share. Filters of several widths slide over the words of a text, the largest
@@ -9,17 +9,20 @@ the threshold of a text's language is always at the same score.
 
 from __future__ import annotations
 
+import copy
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.llm.common import hashed_share, shipped
+from tallygrid.llm.common import shipped, stored
 from tallygrid.llm.quality import one_label
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -30,6 +33,12 @@ CUT = 0.3
 PREFIXES = (6, 4)
 TABLES = 1 + len(PREFIXES)
 PAD = 1 << 62
+#: Passes over all texts, texts to a step, texts that a row of a table has to be met in to be learnt, and steps to a unit of the logit.
+EPOCHS, BATCH, LEAST_TEXTS, STEPS = 8, 8, 4, 1024
+LEAST_SQUARE = np.float32(1e-4)
+#: Numbers to a row of a learner's state: a row of a table and the sum of squares of its slopes.
+VALUES = SIZE + 1
+_NAMES = [f"v{i}" for i in range(VALUES)]
 
 # Function words by which the language of a text is told.
 FUNCTION_WORDS = {
@@ -75,6 +84,13 @@ def language_of(codes: np.ndarray) -> int:
     return int(votes.argmax()) if votes.any() else len(LANGUAGES) - 1
 
 
+def _filled(value: float, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A table with these rows at their places and one value everywhere else."""
+    table = np.full((BUCKETS, rows.shape[1]), value, np.float32)
+    table[at] = rows
+    return table
+
+
 @dataclass
 class ToxicityModel:
     """Tables, filters and the output unit; thresholds by language on the logit."""
@@ -85,32 +101,46 @@ class ToxicityModel:
     out: np.ndarray
     thresholds: np.ndarray
     constant: float | None = None
-    momentum: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        """Only rows that were learnt are sent to workers; all others are zero."""
+        rows = [np.flatnonzero(table.any(axis=1)) for table in self.tables]
+        return {**self.__dict__, "tables": [(at, table[at]) for at, table in zip(rows, self.tables)]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.tables = [_filled(0.0, *table) for table in state["tables"]]
 
     def embed(self, codes: np.ndarray) -> np.ndarray:
         rows = sum(table[at] for table, at in zip(self.tables, buckets(codes)))
         rows[codes >= PAD] = 0.0
         return rows
 
-    def pooled(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-        """The largest response of every filter in each text; texts begin at ``starts``, pads between."""
+    def pooled(self, codes: np.ndarray, starts: np.ndarray, stops: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, dict]:
+        """The largest response of every filter in each text; texts begin at ``starts``, pads between.
+
+        No response reaches into the next text. A text that goes on elsewhere has its last word before one of ``stops``: none
+        reaches over that either.
+        """
         rows, best, responses = self.embed(codes), [], {}
         for width in WIDTHS:
             response = rows[: len(rows) - width + 1] @ self.filters[width][:SIZE]
             for step in range(1, width):
                 response = response + rows[step : len(rows) - width + 1 + step] @ self.filters[width][step * SIZE : (step + 1) * SIZE]
             responses[width] = response + self.biases[width]
+            for step in range(1, width):
+                responses[width][[*(starts[1:] - step), *(stop - step for stop in stops if stop >= step)]] = -np.inf
             best.append(np.maximum.reduceat(responses[width], starts, axis=0))
         return np.maximum(np.hstack(best), 0.0), rows, responses
 
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Logits of whole texts. A long one is run over in stretches, whose best responses are joined."""
+    def stretches(self, texts: list[np.ndarray]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[int]]]:
+        """Texts in bounded amounts, long ones cut in stretches: of each piece the text and where it begins, then joined codes, starts and stops."""
         pieces, owner = [], []
         for at, codes in enumerate(texts):
             for start in range(0, max(1, len(codes)), STRETCH):
-                pieces.append(codes[max(0, start - max(WIDTHS) + 1) : start + STRETCH])
-                owner.append(at)
-        best = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
+                begin = max(0, start - max(WIDTHS) + 1)
+                pieces.append(codes[begin : start + STRETCH])
+                owner.append((at, begin))
         first = 0
         while first < len(pieces):
             last, words = first, 0
@@ -118,10 +148,35 @@ class ToxicityModel:
                 words += len(pieces[last])
                 last += 1
             codes, starts = joined(pieces[first:last])
-            np.maximum.at(best, owner[first:last], self.pooled(codes, starts)[0])
+            ends = starts + [len(piece) for piece in pieces[first:last]]
+            goes_on = [begin + len(piece) < len(texts[at]) for (at, begin), piece in zip(owner[first:last], pieces[first:last])]
+            yield owner[first:last], codes, starts, ends[goes_on].tolist()
             first = last
+
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Logits of whole texts. A long one is run over in stretches, whose best responses are joined."""
+        best = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
+        for owner, codes, starts, stops in self.stretches(texts):
+            np.maximum.at(best, [text for text, _ in owner], self.pooled(codes, starts, stops)[0])
         return best @ self.out[:-1] + self.out[-1]
 
+    def peaks(self, texts: list[np.ndarray]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """The largest response of every filter in each whole text, and where in it (text, filter) it begins."""
+        best = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        places = {width: np.zeros((len(texts), FILTERS), np.int64) for width in WIDTHS}
+        units = np.arange(FILTERS)
+        for owner, codes, starts, stops in self.stretches(texts):
+            responses, ends = self.pooled(codes, starts, stops)[2], np.append(starts[1:], len(codes))
+            for at, width in enumerate(WIDTHS):
+                for (text, moved), begin, end in zip(owner, starts, ends):
+                    own = responses[width][begin:end]
+                    found = own.argmax(axis=0)
+                    held = best[text, at * FILTERS : (at + 1) * FILTERS]
+                    more = own[found, units] > held
+                    held[more] = own[found, units][more]
+                    places[width][text, more] = found[more] + moved
+        return best, places
+
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -139,102 +194,186 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([part for codes in texts for part in (codes, pads)]), starts
 
 
-def train(
-    texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, seed: int = 11,
-    least_texts: int = 4, left_out: float = 0.3, init: float = 0.01, pull_rate: float = 0.05,
-) -> ToxicityModel:
-    """Adam over batches of texts; classes weigh the same.
+@dataclass
+class _Learner:
+    """A model in training: Adam for filters and output, Adagrad for the rows of the tables.
 
-    Against learning texts by heart, rows of a table met in fewer than ``least_texts`` texts stay
-    zero and a share ``left_out`` of the words is hidden at every pass.
+    Against learning texts by heart, a share ``left_out`` of the words is hidden at every pass. Its whole state can be
+    taken as rows (key, VALUES numbers) and set from rows, so that learners of several shards are averaged row by row.
     """
-    if len(set(labels.tolist())) < 2:
-        model = ToxicityModel([], {}, {}, np.zeros(0), np.zeros(len(LANGUAGES)))
-        model.constant = float(labels[0]) if len(labels) else 0.0
-        return model
-    random = np.random.default_rng(seed)
-    tables = []
-    for at in range(TABLES):
-        met = np.concatenate([np.unique(buckets(codes)[at]) for codes in texts])
-        known = np.bincount(met, minlength=BUCKETS) >= least_texts
-        tables.append(random.normal(0, init, (BUCKETS, SIZE)).astype(np.float32) * known[:, None])
-    filters = {w: random.normal(0, 0.4, (w * SIZE, FILTERS)).astype(np.float32) for w in WIDTHS}
-    biases = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
-    out = np.append(random.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0).astype(np.float32)
-    model = ToxicityModel(tables, filters, biases, out, np.zeros(len(LANGUAGES)))
-    weight = 0.5 / np.array([np.mean(labels == 0), np.mean(labels == 1)])[labels]
-    parts = {"out": out, **{f"f{w}": filters[w] for w in WIDTHS}, **{f"b{w}": biases[w] for w in WIDTHS}}
-    first = {k: np.zeros_like(v) for k, v in parts.items()}
-    second = {k: np.zeros_like(v) for k, v in parts.items()}
-    squares = [np.full((BUCKETS, 1), 1e-4, np.float32) for _ in range(TABLES)]
-    step = 0
-    for _ in range(epochs):
+
+    model: ToxicityModel
+    weight: np.ndarray
+    squares: list[np.ndarray]
+    first: dict
+    second: dict
+    touched: list[np.ndarray]
+    step: int = 0
+    left_out: float = 0.3
+    pull_rate: float = 0.05
+
+    def __getstate__(self) -> dict:
+        rows = [np.flatnonzero(square[:, 0] != LEAST_SQUARE) for square in self.squares]
+        return {**self.__dict__, "squares": [(at, square[at]) for at, square in zip(rows, self.squares)], "touched": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.squares = [_filled(LEAST_SQUARE, *square) for square in state["squares"]]
+        self.touched = [np.zeros(BUCKETS, bool) for _ in range(TABLES)]
+
+    @classmethod
+    def start(cls, known: list[np.ndarray], counts: np.ndarray, seed: int = 11, init: float = 0.01) -> _Learner:
+        """``known`` has the rows of each table that may be learnt, ``counts`` the texts of both classes."""
+        random = np.random.default_rng(seed)
+        tables = [random.normal(0, init, (BUCKETS, SIZE)).astype(np.float32) * rows[:, None] for rows in known]
+        filters = {w: random.normal(0, 0.4, (w * SIZE, FILTERS)).astype(np.float32) for w in WIDTHS}
+        biases = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
+        out = np.append(random.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0).astype(np.float32)
+        model = ToxicityModel(tables, filters, biases, out, np.zeros(len(LANGUAGES)))
+        squares = [np.full((BUCKETS, 1), LEAST_SQUARE, np.float32) for _ in range(TABLES)]
+        learner = cls(model, 0.5 / (counts / counts.sum()), squares, {}, {}, [np.zeros(BUCKETS, bool) for _ in range(TABLES)])
+        learner.first = {k: np.zeros_like(v) for k, v in learner.parts().items()}
+        learner.second = {k: np.zeros_like(v) for k, v in learner.parts().items()}
+        return learner
+
+    def parts(self) -> dict[str, np.ndarray]:
+        model = self.model
+        return {"out": model.out, **{f"f{w}": model.filters[w] for w in WIDTHS}, **{f"b{w}": model.biases[w] for w in WIDTHS}}
+
+    def learn(self, texts: list[np.ndarray], labels: np.ndarray, random: np.random.Generator, batch: int = BATCH) -> None:
+        """One pass over the texts in random order."""
         order = random.permutation(len(texts))
         for start in range(0, len(order), batch):
             chosen = order[start : start + batch]
-            codes, starts = joined([np.where(random.random(len(texts[i])) < left_out, PAD, texts[i]) for i in chosen])
-            hidden, rows, responses = model.pooled(codes, starts)
-            logit = hidden @ out[:-1] + out[-1]
-            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[chosen]) * weight[chosen] / len(chosen)
-            error = error.astype(np.float32)
-            slopes = {"out": np.append(hidden.T @ error, error.sum()) + 1e-4 * out}
-            back = error[:, None] * out[:-1] * (hidden > 0)
-            ends = np.append(starts[1:], len(codes))
-            row_slopes: dict = {}
-            for at, width in enumerate(WIDTHS):
-                slope, bias = np.zeros_like(filters[width]), np.zeros(FILTERS, np.float32)
-                for text, (begin, end) in enumerate(zip(starts, ends)):
-                    own = back[text, at * FILTERS : (at + 1) * FILTERS]
-                    if not own.any():
-                        continue
-                    places = responses[width][begin:end].argmax(axis=0) + begin
-                    for unit in np.nonzero(own)[0]:
-                        place = places[unit]
-                        slope[:, unit] += own[unit] * rows[place : place + width].ravel()
-                        bias[unit] += own[unit]
-                        pull = (own[unit] * filters[width][:, unit]).reshape(width, SIZE)
-                        for offset in range(width):
-                            row_slopes[place + offset] = row_slopes.get(place + offset, 0.0) + pull[offset]
-                slopes[f"f{width}"], slopes[f"b{width}"] = slope + 1e-4 * filters[width], bias
-            step += 1
-            for name, slope in slopes.items():
-                first[name] += 0.1 * (slope - first[name])
-                second[name] += 0.01 * (slope**2 - second[name])
-                rate = 0.01 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                parts[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-7)).astype(np.float32)
-            if row_slopes:
-                places = np.array([p for p in row_slopes if codes[p] < PAD], np.int64)
-                pulls = np.array([row_slopes[p] for p in places], np.float32).reshape(-1, SIZE)
-                for table, square, at in zip(tables, squares, buckets(codes[places])):
-                    known = table[at].any(axis=1)
-                    at, pulled = at[known], pulls[known]
-                    np.add.at(square, at, (pulled**2).mean(axis=1, keepdims=True))
-                    np.subtract.at(table, at, pull_rate * pulled / np.sqrt(square[at]))
-    _calibrate(model, texts, labels)
+            self._descend([np.where(random.random(len(texts[i])) < self.left_out, PAD, texts[i]) for i in chosen], labels[chosen])
+
+    def _descend(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
+        model, out = self.model, self.model.out
+        best, places = model.peaks(texts)
+        hidden = np.maximum(best, 0.0)
+        logit = hidden @ out[:-1] + out[-1]
+        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * self.weight[labels] / len(labels)
+        error = error.astype(np.float32)
+        slopes = {"out": np.append(hidden.T @ error, error.sum()) + 1e-4 * out}
+        back = error[:, None] * out[:-1] * (hidden > 0)
+        starts = np.cumsum([0, *(len(codes) + max(WIDTHS) for codes in texts[:-1])])
+        codes = joined(texts)[0]
+        words, pulls = [], []
+        for at, width in enumerate(WIDTHS):
+            own, filters = back[:, at * FILTERS : (at + 1) * FILTERS], model.filters[width]
+            windows = (starts[:, None] + places[width])[:, :, None] + np.arange(width)
+            rows = model.embed(codes[windows].ravel()).reshape(*windows.shape, SIZE)
+            slope = np.einsum("tu,tuws->wsu", own, rows).reshape(width * SIZE, FILTERS)
+            slopes[f"f{width}"], slopes[f"b{width}"] = slope + 1e-4 * filters, own.sum(axis=0)
+            pull = own[:, :, None, None] * filters.reshape(width, SIZE, FILTERS).transpose(2, 0, 1)
+            used = (codes[windows] < PAD) & (own != 0)[:, :, None]
+            words.append(windows[used])
+            pulls.append(pull[used])
+        self.step += 1
+        for name, part in self.parts().items():
+            self.first[name] += 0.1 * (slopes[name] - self.first[name])
+            self.second[name] += 0.01 * (slopes[name] ** 2 - self.second[name])
+            rate = 0.01 * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+            part -= (rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-7)).astype(np.float32)
+        # Of each word at its place.
+        words, of = np.unique(np.concatenate(words), return_inverse=True)
+        pulled = np.zeros((len(words), SIZE), np.float32)
+        np.add.at(pulled, of, np.concatenate(pulls))
+        for at, rows in enumerate(buckets(codes[words])):
+            table, square = model.tables[at], self.squares[at]
+            known = table[rows].any(axis=1)
+            rows, pull = rows[known], pulled[known]
+            np.add.at(square, rows, (pull**2).mean(axis=1, keepdims=True))
+            np.subtract.at(table, rows, self.pull_rate * pull / np.sqrt(square[rows]))
+            self.touched[at][rows] = True
+
+    def state(self) -> pd.DataFrame:
+        """Rows of the tables that were changed, and all other numbers with their moments."""
+        keys, values = [], []
+        for at in range(TABLES):
+            rows = np.flatnonzero(self.touched[at])
+            keys.append(at * BUCKETS + rows)
+            values.append(np.hstack([self.model.tables[at][rows], self.squares[at][rows]]))
+        parts = self.parts()
+        flat = [np.concatenate([of[name].ravel() for name in parts]) for of in (parts, self.first, self.second)]
+        keys.append(TABLES * BUCKETS + np.arange(len(flat[0])))
+        values.append(np.pad(np.stack(flat, axis=1), ((0, 0), (0, VALUES - 3))))
+        return pd.DataFrame({"key": np.concatenate(keys), **dict(zip(_NAMES, np.vstack(values).T.astype(float)))})
+
+    def set(self, state: pd.DataFrame) -> None:
+        keys, values = state["key"].to_numpy(np.int64), state[_NAMES].to_numpy(np.float32)
+        for at in range(TABLES):
+            own = keys // BUCKETS == at
+            self.model.tables[at][keys[own] % BUCKETS] = values[own, :SIZE]
+            self.squares[at][keys[own] % BUCKETS] = values[own, SIZE:]
+        own = np.flatnonzero(keys // BUCKETS == TABLES)
+        flat, begin = values[own[np.argsort(keys[own])]], 0
+        for name, part in self.parts().items():
+            for column, of in enumerate((part, self.first[name], self.second[name])):
+                of[...] = flat[begin : begin + part.size, column].reshape(part.shape)
+            begin += part.size
+
+
+def _constant(label: float) -> ToxicityModel:
+    model = ToxicityModel([], {}, {}, np.zeros(0), np.zeros(len(LANGUAGES)))
+    model.constant = label
     return model
 
 
-def _calibrate(model: ToxicityModel, texts: list[np.ndarray], labels: np.ndarray, least: int = 10) -> None:
-    """A threshold for each language with ``least`` texts of both classes, that of all texts for the rest."""
-    logits = model.logits(texts)
-    languages = np.array([language_of(codes) for codes in texts])
+def rows_met(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the tables as keys, and in how many of the texts each is met."""
+    keys = [at * BUCKETS + np.unique(rows) for codes in texts for at, rows in enumerate(buckets(codes))]
+    return np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+
+
+def _known(keys: np.ndarray) -> list[np.ndarray]:
+    known = np.zeros(TABLES * BUCKETS, bool)
+    known[keys] = True
+    return list(known.reshape(TABLES, BUCKETS))
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ToxicityModel:
+    """A model of texts that are at hand, the same as ``fit_toxicity`` with one shard."""
+    counts = np.bincount(labels, minlength=2)
+    if not counts.all():
+        return _constant(float(labels[0]) if len(labels) else 0.0)
+    keys, met = rows_met(texts)
+    learner = _Learner.start(_known(keys[met >= LEAST_TEXTS]), counts, seed)
+    for epoch in range(epochs):
+        learner.learn(texts, labels, np.random.default_rng((seed, epoch, 0)))
+    _calibrate(learner.model, _logit_counts(learner.model, texts, labels))
+    return learner.model
+
+
+def _logit_counts(model: ToxicityModel, texts: list[np.ndarray], labels: np.ndarray) -> pd.DataFrame:
+    """How many texts (n) have each language, label and logit, in steps of 1 / ``STEPS``."""
+    steps = np.round(np.clip(model.logits(texts).astype(float), -500, 500) * STEPS).astype(np.int64)
+    rows = pd.DataFrame({"language": [language_of(codes) for codes in texts], "label": labels.astype(np.int64), "step": steps})
+    return rows.groupby(["language", "label", "step"]).size().rename("n").reset_index().astype(np.int64)
+
+
+def _calibrate(model: ToxicityModel, found: pd.DataFrame, least: int = 10) -> None:
+    """A threshold for each language with ``least`` texts of both classes, that of all texts for the rest.
+
+    ``found`` counts all texts by language, label and step of the logit.
+    """
 
-    def best(chosen: np.ndarray) -> float:
+    def best(chosen: pd.DataFrame) -> float:
         """The middle of the widest best gap: most right answers, classes weighing the same."""
-        order = np.argsort(logits[chosen], kind="stable")
-        value, label = logits[chosen][order], labels[chosen][order]
-        below = np.append(0, np.cumsum(label == 0)) / (label == 0).sum()
-        above = 1 - np.append(0, np.cumsum(label == 1)) / (label == 1).sum()
+        tally = chosen.pivot_table(index="step", columns="label", values="n", aggfunc="sum", fill_value=0).sort_index()
+        value, clean, toxic = tally.index.to_numpy(float) / STEPS, tally[0].to_numpy(), tally[1].to_numpy()
+        below = np.append(0, np.cumsum(clean)) / clean.sum()
+        above = 1 - np.append(0, np.cumsum(toxic)) / toxic.sum()
         right = below + above
         edges = np.concatenate(([value[0] - 1], (value[1:] + value[:-1]) / 2, [value[-1] + 1]))
         widths = np.concatenate(([0], np.diff(value), [0]))
         top = np.flatnonzero(right >= right.max() - 1e-9)
         return float(edges[top[widths[top].argmax()]])
 
-    everything = best(np.ones(len(labels), bool))
+    everything = best(found)
     for at in range(len(LANGUAGES)):
-        chosen = languages == at
-        enough = min((labels[chosen] == c).sum() for c in (0, 1)) >= least
+        chosen = found[found["language"] == at]
+        enough = min(chosen.loc[chosen["label"] == c, "n"].sum() for c in (0, 1)) >= least
         model.thresholds[at] = best(chosen) if enough else everything
 
 
@@ -244,25 +383,81 @@ def _coded(text: str):
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", sample_each: int = 1500,
-    longest: int = 4000, text: str = "text", id: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", text: str = "text", id: str = "doc_id",
+    shard_rows: int = 16_384, shard_words: int = 1 << 23, epochs: int = EPOCHS, seed: int = 11,
 ) -> ToxicityModel:
-    """A model from labelled rows where ``training`` holds.
+    """A model from all labelled rows where ``training`` holds, whole texts.
 
-    Learns from about ``sample_each`` rows of each label, chosen by hash of the id, of at most
-    ``longest`` words: together they bound what reaches the driver. Scoring reads whole texts.
+    Rows are dealt to shards by hash, as many as ``shard_rows`` and ``shard_words`` ask for, each written as one row. In every pass
+    each shard learns from the model of the pass before, then the numbers that shards changed are averaged. Words are
+    counted and thresholds set over all rows. Only numbers of the model reach the driver, however many rows there are.
     """
-    known = one_label(labels.select(id, label), label, id)
-    rows = docs.where(training).select(id).join(known.where(F.col(label).isin(0, 1)), id)
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    share = {value: min(1.0, sample_each / count) for value, count in counts.items()}
-    # At most this many ids and labels: small enough to broadcast by their number.
-    picked = F.broadcast(known.where(hashed_share(id, share, label)).limit(4 * sample_each))
-    coded = shipped(docs).where(training).select(id, text).join(picked, id).select(label, _coded(F.col(text).cast("string")).alias("codes"))
-    short = coded.where(F.length("codes") <= 8 * longest).limit(4 * sample_each)
-    found = short.orderBy(label, F.xxhash64("codes")).toPandas()
-    texts = [np.frombuffer(codes, np.int64) for codes in found["codes"]]
-    return train(texts, found[label].to_numpy(np.int64))
+    # Written out first: where labels are few by their size, texts need no shuffle to meet them.
+    known = stored(one_label(labels.select(id, label), label, id).where(F.col(label).isin(0, 1)), "known")
+    rows = shipped(docs).where(training).select(id, text).join(known, id)
+    coded = rows.select(F.col(label).cast("long").alias("label"), F.xxhash64(id, text).alias("deal"), _coded(F.col(text).cast("string")).alias("codes"))
+    coded = stored(coded, "coded")
+    totals = coded.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("codes") / F.lit(8)).alias("words")).collect()
+    counts = np.zeros(2, np.int64)
+    for row in totals:
+        counts[row["label"]] = row["n"]
+    if not counts.all():
+        return _constant(float(counts[1] > 0))
+    shards = max(-(-int(counts.sum()) // shard_rows), -(-int(sum(row["words"] for row in totals)) // shard_words))
+    dealt = coded.groupBy(F.pmod("deal", F.lit(shards)).alias("shard")).applyInPandas(_shard, _SHARD)
+    # A file for each shard, so that a task may have any number of them.
+    dealt = stored(dealt, "shards", maxRecordsPerFile=1)
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, texts, _ in _shards(batches):
+            keys, n = rows_met(texts)
+            yield pd.DataFrame({"key": keys, "n": n})
+
+    often = dealt.mapInPandas(met, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    learner = _Learner.start(_known(often.select("key").toPandas()["key"].to_numpy(np.int64)), counts, seed)
+    context = docs.sparkSession.sparkContext
+    means = [F.avg(name).alias(name) for name in _NAMES]
+    for epoch in range(epochs):
+        shared = context.broadcast(learner)
+
+        def learn(batches: Iterator[pd.DataFrame], epoch: int = epoch, shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
+            for shard, texts, classes in _shards(batches):
+                own = copy.deepcopy(shared.value)
+                own.learn(texts, classes, np.random.default_rng((seed, epoch, shard)))
+                yield own.state()
+
+        numbers = ", ".join(f"{name} double" for name in _NAMES)
+        learner.set(dealt.mapInPandas(learn, f"key long, {numbers}").groupBy("key").agg(*means).toPandas())
+        learner.step += -(-int(counts.sum()) // (BATCH * shards))
+        shared.destroy()
+    shared = context.broadcast(learner.model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, texts, classes in _shards(batches):
+            yield _logit_counts(shared.value, texts, classes)
+
+    found = dealt.mapInPandas(count, "language long, label long, step long, n long")
+    _calibrate(learner.model, found.groupBy("language", "label", "step").agg(F.sum("n").alias("n")).toPandas())
+    return learner.model
+
+
+_SHARD = "shard long, lengths binary, labels binary, codes binary"
+
+
+def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a shard as one row, in an order of their own."""
+    rows = rows.sort_values(["deal", "label"], kind="stable")
+    lengths = np.array([len(codes) // 8 for codes in rows["codes"]], np.int64)
+    labels = rows["label"].to_numpy(np.int64)
+    return pd.DataFrame({"shard": [key[0]], "lengths": [lengths.tobytes()], "labels": [labels.tobytes()], "codes": [b"".join(rows["codes"])]})
+
+
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """Number, texts and labels of each shard."""
+    for batch in batches:
+        for shard, lengths, labels, codes in zip(batch["shard"], batch["lengths"], batch["labels"], batch["codes"]):
+            ends = np.cumsum(np.frombuffer(lengths, np.int64))
+            yield shard, np.split(np.frombuffer(codes, np.int64), ends[:-1]), np.frombuffer(labels, np.int64)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "score") -> DataFrame:

@@ -93,3 +93,46 @@ def test_pooling_of_long_texts_equals_that_of_one_stretch(monkeypatch):
     whole = model.logits([long])
     monkeypatch.setattr(toxicity, "STRETCH", 64)
     assert np.allclose(model.logits([long]), whole, atol=1e-4)
+
+
+def test_toxicity_learns_from_all_rows_and_whole_texts(spark):
+    """Long texts are learnt from like others, and shards together know what none of them could know alone."""
+    random = np.random.default_rng(3)
+    calm, rows = [f"calm{i}" for i in range(40)], []
+    for i in range(160):
+        bad = [f"bad{i % 8}"] if i % 2 else []
+        words = [*random.choice(calm, 5_000 if i < 40 else 12), *bad]
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    long = F.col("doc_id") < 40
+    for training, shard_rows in ((long, 4_096), (F.lit(True), 40)):
+        model = toxicity.fit_toxicity(docs, labels, training, shard_rows=shard_rows)
+        assert model.constant is None
+        scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+        assert np.mean([(scored[i] >= 0.3) == bool(t) for i, _, t in rows]) > 0.95
+    # In each shard of about 4 rows a word is met too seldom to be learnt; it is counted over all of them.
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True), shard_rows=4, epochs=1)
+    at = toxicity.buckets(toxicity.word_codes("bad3"))[0][0]
+    assert model.tables[0][at].any()
+
+
+def test_toxicity_of_shards_equals_training_at_hand(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    found = toxicity.fit_toxicity(docs, labels, F.lit(True), epochs=2)
+    rows = docs.join(labels.where("toxic in (0, 1)"), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("deal"))
+    rows = rows.orderBy("deal", "toxic").collect()
+    texts = [toxicity.word_codes(r.text) for r in rows]
+    want = toxicity.train(texts, np.array([r.toxic for r in rows]), epochs=2)
+    assert np.allclose(found.logits(texts), want.logits(texts), atol=1e-3)
+    assert np.allclose(found.thresholds, want.thresholds, atol=1e-2)
+
+
+def test_logits_do_not_depend_on_the_texts_beside(monkeypatch):
+    random = np.random.default_rng(1)
+    texts = [toxicity.word_codes(" ".join(random.choice(["bad", "good", "fine", "calm"], 30))) for _ in range(40)]
+    model = toxicity.train(texts, np.array([i % 2 for i in range(40)]), epochs=2)
+    alone = np.concatenate([model.logits([codes]) for codes in texts])
+    assert np.allclose(model.logits(texts), alone, atol=1e-5)
+    monkeypatch.setattr(toxicity, "STRETCH", 7)
+    assert np.allclose(model.logits(texts), alone, atol=1e-5)

@@ -252,3 +252,15 @@ def test_recall_of_blocks(spark, script):
         found[share] = sum(shared_blocks(spark, pairs)) / len(pairs)
     print(script, found)
     assert found[0.01] >= 0.97 and found[0.02] >= 0.9 and found[0.03] >= 0.75
+
+
+def test_edit_distance_is_the_rule_at_all_lengths(spark):
+    """Lines of over 2,000 characters: a letter changed in each word is within the edits allowed, other orders of words are not."""
+    words = [f"w{i % 10}{chr(97 + i % 26)}{i:07d}" for i in range(400)]
+    line = " ".join(words)
+    letters = " ".join("z" + word[1:] for word in words[:200]) + " " + " ".join("y" + word[1:] for word in words[200:])
+    rows = [(1, 2, line, letters), (1, 3, line, " ".join(words[::-1])), (1, 4, line, line[:2000] + "x" * 300 + line[2000:])]
+    rows += [(1, 5, line, line[:2000] + "x" * 900 + line[2000:]), (1, 6, line, "q" + line[1:-1] + "q")]
+    pairs = spark.createDataFrame(rows, "a long, b long, left string, right string")
+    for short in (False, True):
+        assert {r.b for r in linededup.similar_pairs(pairs, short).collect()} == {2, 4, 6}

@@ -5,6 +5,7 @@ import shutil
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid import (
     Cut,
@@ -21,6 +22,7 @@ from tallygrid import (
     select_files,
     toggle_file,
 )
+from tallygrid.plans import workloads
 from tallygrid.plans.workloads import scratch_dir
 from tallygrid.sources.paths import first_overlap
 
@@ -367,3 +369,23 @@ def test_overlaps_of_very_many_names():
     assert first_overlap([*outputs, "file:/data/in/run_7.parquet/x"], inputs)[1] == "file:/data/in/run_7.parquet"
     assert first_overlap(["file:/data/in/run_1"], inputs) is None
     assert time.monotonic() - started < 10
+
+
+def test_saving_many_files_takes_no_task_for_a_whole_kind(spark, tmp_path):
+    """Tables of several parts stay several files, and the manifest adds up the parts of a kind."""
+    rows = [(i, i % 7, float(i % 50 + 1), 200.0 * (i % 300), 0.05, "ANR"[i % 3]) for i in range(4_000)]
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    spark.createDataFrame(rows, schema).repartition(4).write.option("maxRecordsPerFile", 250).parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        target, manifest = workloads._save_twice(spark, str(tmp_path))
+        names = spark.read.parquet(target).select("out_name").distinct().count()
+        found = sorted(map(tuple, workloads.manifest_many(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
+    assert names > 4 and manifest.count() > 3 and sum(files for _, files in found) == 3
+    kept = {kind: spark.read.parquet(target).where(F.col("out_name").endswith(kind)).count() for kind in ("_square", "_triangle")}
+    assert sum(n * files for n, files in found) == kept["_triangle"] and kept["_square"] > 0

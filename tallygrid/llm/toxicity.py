@@ -9,14 +9,16 @@ the threshold of a text's language is always at the same score.
 
 from __future__ import annotations
 
-import copy
+import pickle
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from zlib import crc32
+from itertools import batched
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,10 @@ PAD = 1 << 62
 #: Passes over all texts, texts to a step, texts that a row of a table has to be met in to be learnt, and steps to a unit of the logit.
 EPOCHS, BATCH, LEAST_TEXTS, STEPS = 8, 8, 4, 1024
 LEAST_SQUARE = np.float32(1e-4)
+#: Numbers of a filter below this count as zero in its responses: a filter that no text uses fades out, and products with such numbers are slow.
+NOTHING = np.float32(1e-30)
+#: So many labels of 16 bytes may be broadcast to the texts; beyond, the join shuffles.
+BROADCAST_LABELS = 500_000
 #: Numbers to a row of a learner's state: a row of a table and the sum of squares of its slopes.
 VALUES = SIZE + 1
 _NAMES = [f"v{i}" for i in range(VALUES)]
@@ -57,7 +63,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         packed = _LANGUAGE_OF.get(word, 0)
         for part in (word, *(word[:size] for size in PREFIXES)):
-            packed = packed << HASH_BITS | crc32(part.encode("utf-8", "replace")) % BUCKETS
+            packed = packed << HASH_BITS | zlib.crc32(part.encode("utf-8", "replace")) % BUCKETS
         if len(self) >= 500_000:
             self.clear()
         if len(word) <= 64:
@@ -112,52 +118,63 @@ class ToxicityModel:
         self.tables = [_filled(0.0, *table) for table in state["tables"]]
 
     def embed(self, codes: np.ndarray) -> np.ndarray:
-        rows = sum(table[at] for table, at in zip(self.tables, buckets(codes)))
+        first, *others = zip(self.tables, buckets(codes))
+        rows = first[0].take(first[1], axis=0)
+        for table, at in others:
+            rows += table.take(at, axis=0)
         rows[codes >= PAD] = 0.0
         return rows
 
-    def pooled(self, codes: np.ndarray, starts: np.ndarray, stops: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, dict]:
-        """The largest response of every filter in each text; texts begin at ``starts``, pads between.
+    def responses(self, codes: np.ndarray, starts: np.ndarray, stops: Sequence[int] = ()) -> dict[int, np.ndarray]:
+        """The responses of the filters of each width at every word; texts begin at ``starts``, pads between.
 
         No response reaches into the next text. A text that goes on elsewhere has its last word before one of ``stops``: none
         reaches over that either.
         """
-        rows, best, responses = self.embed(codes), [], {}
+        rows, responses = self.embed(codes), {}
         for width in WIDTHS:
-            response = rows[: len(rows) - width + 1] @ self.filters[width][:SIZE]
+            filters = np.where(np.abs(self.filters[width]) < NOTHING, np.float32(0), self.filters[width])
+            response = rows[: len(rows) - width + 1] @ filters[:SIZE]
             for step in range(1, width):
-                response = response + rows[step : len(rows) - width + 1 + step] @ self.filters[width][step * SIZE : (step + 1) * SIZE]
+                response = response + rows[step : len(rows) - width + 1 + step] @ filters[step * SIZE : (step + 1) * SIZE]
             responses[width] = response + self.biases[width]
             for step in range(1, width):
                 responses[width][[*(starts[1:] - step), *(stop - step for stop in stops if stop >= step)]] = -np.inf
-            best.append(np.maximum.reduceat(responses[width], starts, axis=0))
-        return np.maximum(np.hstack(best), 0.0), rows, responses
+        return responses
 
-    def stretches(self, texts: list[np.ndarray]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[int]]]:
+    def pooled(self, codes: np.ndarray, starts: np.ndarray, stops: Sequence[int] = ()) -> np.ndarray:
+        """The largest response of every filter in each text, 0 at least."""
+        responses = self.responses(codes, starts, stops)
+        return np.maximum(np.hstack([np.maximum.reduceat(responses[width], starts, axis=0) for width in WIDTHS]), 0.0)
+
+    def stretches(self, texts: Sequence[np.ndarray]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[int]]]:
         """Texts in bounded amounts, long ones cut in stretches: of each piece the text and where it begins, then joined codes, starts and stops."""
-        pieces, owner = [], []
+        pieces, owner, goes_on, words = [], [], [], 0
+
+        def together() -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[int]]:
+            codes, starts = joined(pieces)
+            ends = starts + [len(piece) for piece in pieces]
+            return owner, codes, starts, ends[goes_on].tolist()
+
         for at, codes in enumerate(texts):
             for start in range(0, max(1, len(codes)), STRETCH):
                 begin = max(0, start - max(WIDTHS) + 1)
-                pieces.append(codes[begin : start + STRETCH])
+                piece = codes[begin : start + STRETCH]
+                if pieces and words + len(piece) > 2 * STRETCH:
+                    yield together()
+                    pieces, owner, goes_on, words = [], [], [], 0
+                pieces.append(piece)
                 owner.append((at, begin))
-        first = 0
-        while first < len(pieces):
-            last, words = first, 0
-            while last < len(pieces) and (last == first or words + len(pieces[last]) <= 2 * STRETCH):
-                words += len(pieces[last])
-                last += 1
-            codes, starts = joined(pieces[first:last])
-            ends = starts + [len(piece) for piece in pieces[first:last]]
-            goes_on = [begin + len(piece) < len(texts[at]) for (at, begin), piece in zip(owner[first:last], pieces[first:last])]
-            yield owner[first:last], codes, starts, ends[goes_on].tolist()
-            first = last
-
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+                goes_on.append(begin + len(piece) < len(codes))
+                words += len(piece)
+        if pieces:
+            yield together()
+
+    def logits(self, texts: Sequence[np.ndarray]) -> np.ndarray:
         """Logits of whole texts. A long one is run over in stretches, whose best responses are joined."""
         best = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
         for owner, codes, starts, stops in self.stretches(texts):
-            np.maximum.at(best, [text for text, _ in owner], self.pooled(codes, starts, stops)[0])
+            np.maximum.at(best, [text for text, _ in owner], self.pooled(codes, starts, stops))
         return best @ self.out[:-1] + self.out[-1]
 
     def peaks(self, texts: list[np.ndarray]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -166,7 +183,7 @@ class ToxicityModel:
         places = {width: np.zeros((len(texts), FILTERS), np.int64) for width in WIDTHS}
         units = np.arange(FILTERS)
         for owner, codes, starts, stops in self.stretches(texts):
-            responses, ends = self.pooled(codes, starts, stops)[2], np.append(starts[1:], len(codes))
+            responses, ends = self.responses(codes, starts, stops), np.append(starts[1:], len(codes))
             for at, width in enumerate(WIDTHS):
                 for (text, moved), begin, end in zip(owner, starts, ends):
                     own = responses[width][begin:end]
@@ -240,12 +257,13 @@ class _Learner:
         model = self.model
         return {"out": model.out, **{f"f{w}": model.filters[w] for w in WIDTHS}, **{f"b{w}": model.biases[w] for w in WIDTHS}}
 
-    def learn(self, texts: list[np.ndarray], labels: np.ndarray, random: np.random.Generator, batch: int = BATCH) -> None:
+    def learn(self, texts: Sequence[np.ndarray], labels: np.ndarray, random: np.random.Generator, batch: int = BATCH) -> None:
         """One pass over the texts in random order."""
         order = random.permutation(len(texts))
         for start in range(0, len(order), batch):
             chosen = order[start : start + batch]
-            self._descend([np.where(random.random(len(texts[i])) < self.left_out, PAD, texts[i]) for i in chosen], labels[chosen])
+            whole = [texts[i] for i in chosen]
+            self._descend([np.where(random.random(len(codes)) < self.left_out, PAD, codes) for codes in whole], labels[chosen])
 
     def _descend(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
         model, out = self.model, self.model.out
@@ -320,10 +338,14 @@ def _constant(label: float) -> ToxicityModel:
     return model
 
 
-def rows_met(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def rows_met(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the tables as keys, and in how many of the texts each is met."""
-    keys = [at * BUCKETS + np.unique(rows) for codes in texts for at, rows in enumerate(buckets(codes))]
-    return np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+    met = np.zeros(TABLES * BUCKETS, np.int64)
+    for codes in texts:
+        for at, rows in enumerate(buckets(codes)):
+            met[at * BUCKETS + np.unique(rows)] += 1
+    keys = np.flatnonzero(met)
+    return keys, met[keys]
 
 
 def _known(keys: np.ndarray) -> list[np.ndarray]:
@@ -345,7 +367,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     return learner.model
 
 
-def _logit_counts(model: ToxicityModel, texts: list[np.ndarray], labels: np.ndarray) -> pd.DataFrame:
+def _logit_counts(model: ToxicityModel, texts: Sequence[np.ndarray], labels: np.ndarray) -> pd.DataFrame:
     """How many texts (n) have each language, label and logit, in steps of 1 / ``STEPS``."""
     steps = np.round(np.clip(model.logits(texts).astype(float), -500, 500) * STEPS).astype(np.int64)
     rows = pd.DataFrame({"language": [language_of(codes) for codes in texts], "label": labels.astype(np.int64), "step": steps})
@@ -377,9 +399,27 @@ def _calibrate(model: ToxicityModel, found: pd.DataFrame, least: int = 10) -> No
         model.thresholds[at] = best(chosen) if enough else everything
 
 
-@F.udf(T.BinaryType(), useArrow=True)
+@F.udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("codes", T.BinaryType())]), useArrow=True)
 def _coded(text: str):
-    return word_codes(text).tobytes()
+    """The number of words and their codes, packed."""
+    codes = word_codes(text)
+    return len(codes), zlib.compress(codes.tobytes(), 1)
+
+
+class _Packed(Sequence):
+    """The codes of texts as places in a list of all their words; texts stay packed, each is unpacked when it is asked for."""
+
+    def __init__(self, words: bytes, packed: bytes, sizes: bytes) -> None:
+        self.words, self.packed = np.frombuffer(words, np.int64), memoryview(packed)
+        self.ends = np.cumsum([0, *np.frombuffer(sizes, np.int64)])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, at: int) -> np.ndarray:
+        if not 0 <= at < len(self):
+            raise IndexError(at)
+        return self.words[np.frombuffer(zlib.decompress(self.packed[self.ends[at] : self.ends[at + 1]]), np.uint32)]
 
 
 def fit_toxicity(
@@ -388,23 +428,25 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """A model from all labelled rows where ``training`` holds, whole texts.
 
-    Rows are dealt to shards by hash, as many as ``shard_rows`` and ``shard_words`` ask for, each written as one row. In every pass
+    Rows are dealt to shards by hash, as many as ``shard_rows`` and ``shard_words`` ask for, each written as one row of packed
+    texts, which stay packed in the workers but for those of a step. In every pass
     each shard learns from the model of the pass before, then the numbers that shards changed are averaged. Words are
     counted and thresholds set over all rows. Only numbers of the model reach the driver, however many rows there are.
     """
-    # Written out first: where labels are few by their size, texts need no shuffle to meet them.
+    # Written out first: where labels are few, texts need no shuffle to meet them.
     known = stored(one_label(labels.select(id, label), label, id).where(F.col(label).isin(0, 1)), "known")
-    rows = shipped(docs).where(training).select(id, text).join(known, id)
-    coded = rows.select(F.col(label).cast("long").alias("label"), F.xxhash64(id, text).alias("deal"), _coded(F.col(text).cast("string")).alias("codes"))
-    coded = stored(coded, "coded")
-    totals = coded.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("codes") / F.lit(8)).alias("words")).collect()
+    few = known.count() <= BROADCAST_LABELS
+    rows = shipped(docs).where(training).select(id, text).join(F.broadcast(known) if few else known, id)
+    coded = rows.select(F.col(label).cast("long").alias("label"), F.xxhash64(id, text).alias("deal"), _coded(F.col(text).cast("string")).alias("coded"))
+    coded = stored(coded.select("label", "deal", "coded.*"), "coded")
+    totals = coded.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).collect()
     counts = np.zeros(2, np.int64)
     for row in totals:
         counts[row["label"]] = row["n"]
     if not counts.all():
         return _constant(float(counts[1] > 0))
     shards = max(-(-int(counts.sum()) // shard_rows), -(-int(sum(row["words"] for row in totals)) // shard_words))
-    dealt = coded.groupBy(F.pmod("deal", F.lit(shards)).alias("shard")).applyInPandas(_shard, _SHARD)
+    dealt = coded.groupBy(F.pmod("deal", F.lit(shards)).alias("shard")).applyInArrow(_shard, _SHARD)
     # A file for each shard, so that a task may have any number of them.
     dealt = stored(dealt, "shards", maxRecordsPerFile=1)
 
@@ -418,11 +460,11 @@ def fit_toxicity(
     context = docs.sparkSession.sparkContext
     means = [F.avg(name).alias(name) for name in _NAMES]
     for epoch in range(epochs):
-        shared = context.broadcast(learner)
+        shared = context.broadcast(pickle.dumps(learner))
 
         def learn(batches: Iterator[pd.DataFrame], epoch: int = epoch, shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
             for shard, texts, classes in _shards(batches):
-                own = copy.deepcopy(shared.value)
+                own = pickle.loads(shared.value)
                 own.learn(texts, classes, np.random.default_rng((seed, epoch, shard)))
                 yield own.state()
 
@@ -441,23 +483,32 @@ def fit_toxicity(
     return learner.model
 
 
-_SHARD = "shard long, lengths binary, labels binary, codes binary"
+_SHARD = "shard long, words binary, sizes binary, labels binary, codes binary"
 
 
-def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _shard(key: tuple, rows: pa.Table) -> pa.Table:
     """The texts of a shard as one row, in an order of their own."""
-    rows = rows.sort_values(["deal", "label"], kind="stable")
-    lengths = np.array([len(codes) // 8 for codes in rows["codes"]], np.int64)
-    labels = rows["label"].to_numpy(np.int64)
-    return pd.DataFrame({"shard": [key[0]], "lengths": [lengths.tobytes()], "labels": [labels.tobytes()], "codes": [b"".join(rows["codes"])]})
+    labels = rows["label"].to_numpy()
+    order = np.lexsort((labels, rows["deal"].to_numpy()))
+
+    def texts() -> Iterator[np.ndarray]:
+        return (np.frombuffer(zlib.decompress(rows["codes"][at].as_buffer()), np.int64) for at in order)
+
+    words = np.zeros(0, np.int64)
+    for some in batched(texts(), 512):
+        words = np.union1d(words, np.concatenate(some))
+    packed = [zlib.compress(np.searchsorted(words, codes).astype(np.uint32).tobytes(), 1) for codes in texts()]
+    sizes = np.array([len(codes) for codes in packed], np.int64)
+    parts = {"words": words.tobytes(), "sizes": sizes.tobytes(), "labels": labels[order].tobytes(), "codes": b"".join(packed)}
+    shard = {"shard": pa.array([key[0].as_py()], pa.int64())}
+    return pa.table(shard | {name: pa.array([part], pa.binary()) for name, part in parts.items()})
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Sequence[np.ndarray], np.ndarray]]:
     """Number, texts and labels of each shard."""
     for batch in batches:
-        for shard, lengths, labels, codes in zip(batch["shard"], batch["lengths"], batch["labels"], batch["codes"]):
-            ends = np.cumsum(np.frombuffer(lengths, np.int64))
-            yield shard, np.split(np.frombuffer(codes, np.int64), ends[:-1]), np.frombuffer(labels, np.int64)
+        for row in batch.itertuples():
+            yield row.shard, _Packed(row.words, row.codes, row.sizes), np.frombuffer(row.labels, np.int64)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "score") -> DataFrame:

@@ -136,3 +136,38 @@ def test_logits_do_not_depend_on_the_texts_beside(monkeypatch):
     assert np.allclose(model.logits(texts), alone, atol=1e-5)
     monkeypatch.setattr(toxicity, "STRETCH", 7)
     assert np.allclose(model.logits(texts), alone, atol=1e-5)
+
+
+def test_faded_filters_count_as_zero():
+    """Products with numbers too small for a normal float take many times as long, and change nothing."""
+    texts = [toxicity.word_codes(f"good calm {word} fine") for word in ("bad", "mild") * 10]
+    model = toxicity.train(texts, np.array([i % 2 for i in range(20)]), epochs=1)
+    codes, starts = toxicity.joined(texts)
+    for width in toxicity.WIDTHS:
+        model.filters[width][...], model.biases[width][...] = 1e-40, 0
+    responses = model.responses(codes, starts)
+    assert all((responses[width][starts] == 0).all() for width in toxicity.WIDTHS)
+
+
+def test_texts_of_shards_stay_packed_and_few_labels_are_sent_to_them(spark, monkeypatch):
+    rows = [(i, " ".join(f"word{(i + j) % 50}" for j in range(400)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    kept, plans, stored = {}, {}, toxicity.stored
+
+    def noted(frame, name, **options):
+        plans[name] = frame._jdf.queryExecution().toString()
+        kept[name] = stored(frame, name, **options)
+        return kept[name]
+
+    monkeypatch.setattr(toxicity, "stored", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit_toxicity(docs, labels, F.lit(True), shard_rows=20, epochs=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans["coded"] and "SortMergeJoin" not in plans["coded"]
+    assert kept["shards"].agg(F.sum(F.octet_length("codes"))).first()[0] < 60 * 400 * 8 / 4
+    found = [codes.tobytes() for _, texts, _ in toxicity._shards([kept["shards"].toPandas()]) for codes in texts]
+    assert sorted(found) == sorted(toxicity.word_codes(r[1]).tobytes() for r in rows)

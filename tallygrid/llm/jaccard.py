@@ -33,7 +33,8 @@ WORDS, PERCENT = 5, 80
 MOST_FREQUENT, FREQUENT = 200_000, 32
 #: So many ids of 8 bytes may be broadcast to pick texts; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
-SKETCH = 256
+#: Bits of a sketch: of sets of some hundred shingles that are half unlike, so few places have two that it still tells.
+SKETCH = 512
 #: Sorted stretches in which equal shingles are found next to each other.
 STRETCHES = 1 << 16
 LAST = 1 << 62
@@ -136,8 +137,16 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def _frequent(docs: DataFrame) -> np.ndarray:
     """The most frequent prefix shingles, counted over all documents: a whole number of doublings of them."""
-    tokens = _prefixes(docs, np.zeros(0, np.int64)).select(F.explode("prefix").alias("shingle"))
-    counts = stored(tokens.groupBy("shingle").count().where(F.col("count") > FREQUENT), "counts")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                sets = [shingle_set(text) for text in batch["text"].iloc[at : at + 512]]
+                found, n = np.unique(np.concatenate([s[: prefix_length(len(s))] for s in sets]), return_counts=True)
+                yield pd.DataFrame({"shingle": found, "n": n})
+
+    tokens = shipped(docs).select("text").mapInPandas(work, "shingle long, n long")
+    counts = stored(tokens.groupBy("shingle").agg(F.sum("n").alias("count")).where(F.col("count") > FREQUENT), "counts")
     level = F.floor(F.log2("count")).cast("int")
     least, taken = None, 0
     for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,20 @@ def test_edit_distance_is_the_rule_at_all_lengths(spark):
     pairs = spark.createDataFrame(rows, "a long, b long, left string, right string")
     for short in (False, True):
         assert {r.b for r in linededup.similar_pairs(pairs, short).collect()} == {2, 4, 6}
+
+
+def test_sketches_tell_sets_of_some_hundred_shingles_apart(spark):
+    """Sets that share about two thirds are no candidates any more; those alike enough always are."""
+    random.seed(4)
+    rows = []
+    for i in range(60):
+        shared = 370 if i % 2 else 405  # of 450 shingles: 0.70 and 0.82
+        own = [[random.getrandbits(62) for _ in range(450 - shared)] for _ in range(2)]
+        common = [random.getrandbits(62) for _ in range(shared)]
+        left, right = (np.unique(np.array(common + part, np.int64)) for part in own)
+        rows.append((i, *([len(s), *(int(x) for x in jaccard.sketch(s))] for s in (left, right))))
+    names = ["n", *jaccard.PARTS]
+    frame = spark.createDataFrame(rows, "i long, l array<long>, r array<long>")
+    sides = [F.struct(*(F.get(F.col(side), F.lit(at)).alias(name) for at, name in enumerate(names))) for side in ("l", "r")]
+    found = {r.i for r in frame.where(jaccard.alike_sketches(*sides)).collect()}
+    assert found >= set(range(0, 60, 2)) and len(found) < 40

@@ -255,6 +255,18 @@ def test_recall_of_blocks(spark, script):
     assert found[0.01] >= 0.97 and found[0.02] >= 0.9 and found[0.03] >= 0.75
 
 
+def test_unlike_lines_of_few_words_share_few_blocks(spark):
+    """Lines drawn from the same few syllables: the most frequent runs must not make the same block in all of them."""
+    rng = random.Random(12)
+    syllables = "the ing and ion ent ter for her tha ati hat tio ere ate his con res ver all ons".split()
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(3000)]
+    lines = [(i, " the ".join(rng.choices(words, k=60))) for i in range(300)]
+    found = linededup.line_blocks(spark.createDataFrame(lines, "line long, normal string").repartition(4, "line"))
+    sizes = [r["count"] for r in found.groupBy("bucket").count().collect()]
+    pairs = sum(size * (size - 1) // 2 for size in sizes)
+    assert pairs < 100_000  # 805,432 when each run counted as often as it came
+
+
 def test_edit_distance_is_the_rule_at_all_lengths(spark):
     """Lines of over 2,000 characters: a letter changed in each word is within the edits allowed, other orders of words are not."""
     words = [f"w{i % 10}{chr(97 + i % 26)}{i:07d}" for i in range(400)]

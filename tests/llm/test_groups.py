@@ -267,6 +267,34 @@ def test_unlike_lines_of_few_words_share_few_blocks(spark):
     assert pairs < 100_000  # 805,432 when each run counted as often as it came
 
 
+def test_lines_of_words_have_few_buckets(spark):
+    """With a block of runs of characters for every 6 to 12 characters, most of the disk went to buckets."""
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    lines = [(i, " ".join(rng.choices(words, k=rng.randint(40, 90)))) for i in range(200)]
+    found = linededup.line_blocks(spark.createDataFrame(lines, "line long, normal string").repartition(4, "line"))
+    buckets = defaultdict(set)
+    for r in found.collect():
+        buckets[r.line].add(r.bucket)
+    assert all(buckets[i] for i, _ in lines)
+    assert sum(map(len, buckets.values())) < sum(len(line) for _, line in lines) / 13
+
+
+def test_chunks_lose_no_pair_of_long_lines(spark):
+    """Pairs within the edits allowed, spread or together, pass the look for chunks; texts of other words do not."""
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    line, rows = " ".join(rng.choices(words, k=700)), []
+    for at in range(12):
+        rows.append((at, 100 + at, line, edited(line, int(0.09 * len(line)), "abcdefgh", rng)))
+    cut = len(line) // 10 - 1
+    rows += [(20, 120, line, line[cut:]), (21, 121, line, line[:cut] + "q" + line[cut + 1 :]), (22, 122, line[:-1] + "y", line[:900] + "z" * 200 + line[900:-1])]
+    rows += [(30 + at, 130 + at, line, " ".join(rng.choices(words, k=700))) for at in range(5)]
+    allowed = linededup.allowed_edits(F.greatest(F.length("left"), F.length("right"))).alias("allowed")
+    pairs = spark.createDataFrame(rows, "a long, b long, left string, right string").select("*", allowed)
+    assert sorted(r.a for r in linededup._few_chunks_missing(pairs).collect()) == [*range(12), 20, 21, 22]
+
+
 def test_edit_distance_is_the_rule_at_all_lengths(spark):
     """Lines of over 2,000 characters: a letter changed in each word is within the edits allowed, other orders of words are not."""
     words = [f"w{i % 10}{chr(97 + i % 26)}{i:07d}" for i in range(400)]

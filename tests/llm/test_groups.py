@@ -280,6 +280,20 @@ def test_lines_of_words_have_few_buckets(spark):
     assert sum(map(len, buckets.values())) < sum(len(line) for _, line in lines) / 13
 
 
+def test_blocks_are_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes, and uncompiled it takes several times as long."""
+    lines = spark.createDataFrame([(1, "some words")], "line long, normal string").repartition(4, "line")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        query = linededup.line_blocks(lines)._jdf.queryExecution()
+        text = spark._jvm.PythonSQLUtils.explainString(query, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_chunks_lose_no_pair_of_long_lines(spark):
     """Pairs within the edits allowed, spread or together, pass the look for chunks; texts of other words do not."""
     rng = random.Random(16)
